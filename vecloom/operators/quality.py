@@ -7,6 +7,7 @@ labelings at once take labels in long form ``(cfg, id, label)``.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,12 @@ from vecloom.functions import vectors as V
 from vecloom.operators.tiles import TILE_ROWS, build_tiles, run_tiles, tile_pairs
 
 
+def one_row(*parts: DataFrame) -> DataFrame:
+    """Columns of several one-row frames in one row."""
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 def cluster_sizes(labels: DataFrame, label: str, group: Sequence[str] = ()) -> DataFrame:
     """Rows per cluster and their share in percent."""
     sizes = labels.groupBy(*group, label).agg(F.count("*").alias("size"))
@@ -122,18 +129,29 @@ def cosine_inertia(df: DataFrame, vector: str, label: str) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, vector: str, label: str, group: Sequence[str] = ()) -> DataFrame:
-    """``(between / (k - 1)) / (within / (n - k))`` from the cluster moments."""
-    m = cluster_moments(df, vector, label, group)
-    mean = vector_to_array(Summarizer.mean(array_to_vector(F.col("centroid")), F.col("n").cast("double")))
-    whole = m.groupBy(*group).agg(mean.alias("centre"), F.sum("n").alias("rows"), F.count("*").alias("k"), F.sum("inertia").alias("within"))
-    if group:
-        joined = m.join(whole, list(group))
-    else:
-        joined = m.crossJoin(F.broadcast(whole))  # one row
-    gap = V._total(F.zip_with("centroid", "centre", lambda x, y: (x - y) * (x - y)))
-    between = joined.groupBy(*group, "rows", "k", "within").agg(F.sum(F.col("n") * gap).alias("between"))
-    value = F.try_divide(F.col("between") / (F.col("k") - 1), F.col("within") / (F.col("rows") - F.col("k")))
-    return between.select(*group, F.col("k").alias("n_clusters"), F.when(F.col("k") > 1, value).alias("calinski_harabasz"))
+    """``(between / (k - 1)) / (within / (n - k))``.
+
+    One pass over two grouping sets gives the inertia of every cluster and of
+    the whole; what lies between the clusters is the difference.
+    """
+    g = list(group)
+    v = array_to_vector(F.col(vector))
+    rows = df.filter(F.col(label).isNotNull())
+    s = rows.groupingSets([[*g, label], g], *g, label).agg(
+        F.grouping(label).alias("whole"), Summarizer.metrics("count", "variance").summary(v).alias("s")
+    )
+    n = F.col("s.count")
+    spread = F.when(n > 1, V._total(vector_to_array(F.col("s.variance"))) * (n - 1)).otherwise(0.0)
+    part = s.select(*g, "whole", n.alias("n"), spread.alias("spread"))
+    each = F.col("whole") == 0
+    out = part.groupBy(*g).agg(
+        F.count_if(each).alias("k"),
+        F.sum(F.when(each, F.col("n"))).alias("rows"),
+        F.sum(F.when(each, F.col("spread"))).alias("within"),
+        F.max(F.when(~each, F.col("spread"))).alias("total"),
+    )
+    value = F.try_divide((F.col("total") - F.col("within")) / (F.col("k") - 1), F.col("within") / (F.col("rows") - F.col("k")))
+    return out.select(*g, F.col("k").alias("n_clusters"), F.when(F.col("k") > 1, value).alias("calinski_harabasz"))
 
 
 def davies_bouldin(df: DataFrame, vector: str, label: str, group: Sequence[str] = (), tile_rows: int = TILE_ROWS) -> DataFrame:
@@ -184,7 +202,7 @@ def adjusted_rand(pairs: DataFrame, a: str = "label_a", b: str = "label_b") -> D
     inside = cells.agg(F.coalesce(F.sum(choose2(F.col("n"))), F.lit(0.0)).alias("s"), F.sum("n").alias("n"))
     rows = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(F.sum(choose2(F.col("n"))).alias("ra"))
     cols = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(F.sum(choose2(F.col("n"))).alias("rb"))
-    one = inside.crossJoin(rows).crossJoin(cols)  # three single rows
+    one = one_row(inside, rows, cols)
     expected = F.try_divide(F.col("ra") * F.col("rb"), choose2(F.col("n")))
     top = (F.col("ra") + F.col("rb")) / 2
     return one.select(
@@ -201,14 +219,14 @@ def compare_clusterings(pairs: DataFrame, a: str = "label_a", b: str = "label_b"
         F.count_if(F.col(a) == noise).alias("noise_a"),
         F.count_if(F.col(b) == noise).alias("noise_b"),
     )
-    return facts.crossJoin(adjusted_rand(pairs, a, b))  # two single rows
+    return one_row(facts, adjusted_rand(pairs, a, b))
 
 
 def _sums(df: DataFrame, id_col: str, vector: str, labels: DataFrame, n_cfg: int, metric: str, tile_rows: int) -> DataFrame:
     """``(cfg, id, own, other, total)``: distance sums to every cluster, per labeling."""
     slots = F.array(*[F.lit(i) for i in range(n_cfg)])
     packed = labels.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cfg", "label"))).alias("m"))
-    packed = packed.select("id", F.transform(slots, lambda i: F.get(F.array(F.try_element_at("m", i)), F.lit(0))).alias("labels"))
+    packed = packed.select("id", F.transform(slots, lambda i: F.try_element_at(F.col("m"), i)).alias("labels"))
     points = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec")).join(packed, "id")
     tiles = build_tiles(points, "id", "vec", carry=["labels"], tile_rows=tile_rows)
     id_type = points.schema["id"].dataType
@@ -374,8 +392,7 @@ def evaluate_clustering(df: DataFrame, id_col: str, vector: str, label: str) ->
     db = davies_bouldin(df, vector, label).select("davies_bouldin")
     total = moments.agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"))
     top = (
-        whole.select("silhouette").crossJoin(total).crossJoin(ch).crossJoin(db)  # single rows
-        .select(
+        one_row(whole.select("silhouette"), total, ch, db).select(
             F.lit("all").alias("scope"), F.lit(None).cast("int").alias("cluster_id"), "n", "silhouette", "inertia",
             "calinski_harabasz", "davies_bouldin", scores.silhouette_quality("silhouette").alias("quality"),
         )
@@ -392,6 +409,6 @@ def evaluate_levels(df: DataFrame, id_col: str, vector: str, level1: str, level2
             rows = rows.filter(F.col(label) != -1)
         quality = evaluate_clustering(rows, id_col, vector, label).filter("scope = 'all'").drop("scope", "cluster_id", "n")
         sizes = cluster_size_metrics(rows, label)
-        one = quality.crossJoin(sizes).select(F.lit(level).alias("level"), "*")  # single rows
+        one = one_row(quality, sizes).select(F.lit(level).alias("level"), "*")
         out = one if out is None else out.unionByName(one)
     return out
