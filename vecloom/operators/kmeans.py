@@ -7,13 +7,13 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.functions import arrow
+from vecloom.operators.partials import sum_partials
 
 
 def first_rows(df: DataFrame, id_col: str, vector: str, k: int) -> np.ndarray:
@@ -86,40 +86,37 @@ def lloyd(df: DataFrame, vector: str, starts: Mapping, max_iters: int = 100, tol
     rows keeps its centre.
     """
     points = df.select(F.col(vector).alias("vec")).persist(StorageLevel.MEMORY_AND_DISK)
-    schema = T.StructType(
-        [T.StructField("start", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("n", T.LongType()),
-         T.StructField("sse", T.DoubleType()), T.StructField("total", T.ArrayType(T.DoubleType()))]
-    )
+    tasks = points.rdd.getNumPartitions()
+    schema = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
     names = list(starts)
     centres = [np.array(starts[n], dtype=float) for n in names]
 
-    def scan(active: list[int]):
+    def scan(active: list[int]) -> dict:
+        """Per start and cluster: rows, squared error, sum of the vectors."""
         held = [(i, centres[i]) for i in active]
 
         def partial(batches):
-            sums = {i: [np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros(c.shape)] for i, c in held}
+            sums = {i: np.zeros((len(c), c.shape[1] + 2)) for i, c in held}
             for b in batches:
                 if not b.num_rows:
                     continue
                 x = arrow.matrix(b.column("vec"))
                 for i, c in held:
                     label, d = _assign(x, c)
-                    hot = np.zeros((len(x), len(c)))
-                    hot[np.arange(len(x)), label] = 1.0
-                    n, sse, total = sums[i]
-                    n += hot.sum(axis=0).astype(np.int64)
-                    sse += hot.T @ (d * d)
-                    total += hot.T @ x
-            for i, (n, sse, total) in sums.items():
-                live = np.nonzero(n)[0]
-                if len(live):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(live), i), pa.int32()), pa.array(live, pa.int32()), pa.array(n[live]), pa.array(sse[live]), arrow.vectors(total[live])],
-                        names=[f.name for f in schema.fields],
-                    )
-
-        total = vector_to_array(Summarizer.sum(array_to_vector(F.col("total"))))
-        return points.mapInArrow(partial, schema).groupBy("start", "c").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), total.alias("total")).collect()
+                    hot = np.zeros((len(c), len(x)))
+                    hot[label, np.arange(len(x))] = 1.0
+                    sums[i][:, 0] += hot.sum(axis=1)
+                    sums[i][:, 1] += hot @ (d * d)
+                    sums[i][:, 2:] += hot @ x
+            live = [(i, k) for i, s in sums.items() for k in np.nonzero(s[:, 0])[0]]
+            if live:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for i, _ in live], pa.int32()), pa.array([k for _, k in live], pa.int32()), arrow.vectors(np.array([sums[i][k] for i, k in live]))],
+                    names=["start", "c", "sums"],
+                )
+
+        size = 8 * sum(c.size + 2 * len(c) for _, c in held)
+        return sum_partials(points.mapInArrow(partial, schema), ["start", "c"], "sums", tasks, size)
 
     try:
         active, iters = list(range(len(names))), [0] * len(names)
@@ -127,8 +124,8 @@ def lloyd(df: DataFrame, vector: str, starts: Mapping, max_iters: int = 100, tol
             if not active:
                 break
             moved = {i: centres[i].copy() for i in active}
-            for r in scan(active):
-                moved[r["start"]][r["c"]] = np.array(r["total"]) / r["n"]
+            for (i, c), sums in scan(active).items():
+                moved[i][c] = sums[2:] / sums[0]
             still = []
             for i in active:
                 shift = np.linalg.norm(moved[i] - centres[i])
@@ -138,8 +135,8 @@ def lloyd(df: DataFrame, vector: str, starts: Mapping, max_iters: int = 100, tol
                     still.append(i)
             active = still
         inertia = [0.0] * len(names)
-        for r in scan(list(range(len(names)))):
-            inertia[r["start"]] += r["sse"]
+        for (i, _), sums in scan(list(range(len(names)))).items():
+            inertia[i] += float(sums[1])
         return {n: (centres[i], inertia[i], iters[i]) for i, n in enumerate(names)}
     finally:
         points.unpersist()
@@ -202,6 +199,17 @@ def kmeans_confidence(assigned: DataFrame, label: str = "cluster_id", distance:
     return assigned.join(top, label).withColumn(out, value).drop("_max", "_n")
 
 
+def kmeans_many(df: DataFrame, id_col: str, vector: str, ks: Sequence[int], max_iters: int = 100, tol: float = 1e-4, n_init: int = 10, seed: int = 42) -> dict[int, np.ndarray]:
+    """Best centres for every k from k-means++ starts.
+
+    A k-means++ draw of the largest k holds a valid draw of every smaller one
+    as its first rows, so all k share the drawing scans and the iterations.
+    """
+    starts = plus_plus_rows(df, id_col, vector, max(ks), n_init, seed)
+    runs = lloyd(df, vector, {(k, i): s[:k] for k in ks for i, s in enumerate(starts)}, max_iters, tol)
+    return {k: min((runs[(k, i)] for i in range(n_init)), key=lambda r: r[1])[0] for k in ks}
+
+
 def kmeans_assign(df: DataFrame, id_col: str, vector: str, centres: np.ndarray) -> DataFrame:
     """Result rows: ``(song_id, algorithm, kmeans_cluster_id, kmeans_distance, confidence)``."""
     near = point_to_centroid(df.select(F.col(id_col).alias("song_id"), vector), vector, centres)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -74,20 +76,42 @@ def segment_featurize(samples: DataFrame, signal: str, segment: str, value: str,
     out = T.StructType(keys + schema.fields + [T.StructField("error", T.StringType())])
     names = [f.name for f in schema.fields]
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(order)
-        row = {signal: pdf[signal].iloc[0], segment: pdf[segment].iloc[0], "error": None}
+    def measure(key, parts) -> dict:
+        row = dict(zip((signal, segment), key), error=None)
         try:
-            got = featurize(pdf[value].to_numpy())
+            got = featurize(np.concatenate(parts))
             row.update({n: got.get(n) for n in names})
         except Exception as exc:  # any user failure is data, not a job failure
-            row.update({n: None for n in names})
-            row["error"] = f"{type(exc).__name__}: {exc}"
-        return pd.DataFrame([row], columns=[f.name for f in out.fields])
-
-    done = samples.groupBy(signal, segment).applyInPandas(run, out)
+            row.update(dict.fromkeys(names), error=f"{type(exc).__name__}: {exc}")
+        return row
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        wanted = to_arrow_schema(out)
+        key, parts = None, []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pair = list(zip(b.column(signal).to_pylist(), b.column(segment).to_pylist()))
+            values = b.column(value).to_numpy(zero_copy_only=False)
+            cuts = [0] + [i for i in range(1, len(pair)) if pair[i] != pair[i - 1]] + [len(pair)]
+            done = []
+            for start, stop in zip(cuts, cuts[1:]):
+                if pair[start] != key:
+                    if parts:
+                        done.append(measure(key, parts))
+                    key, parts = pair[start], []
+                parts.append(values[start:stop])
+            if done:
+                yield pa.RecordBatch.from_pylist(done, wanted)
+        if parts:
+            yield pa.RecordBatch.from_pylist([measure(key, parts)], wanted)
+
+    # Rows of a segment meet in one task in order; the task reads them as runs,
+    # so there is no call overhead per group beyond the user's function.
+    rows = samples.select(signal, segment, value, order)
+    done = rows.repartition(signal, segment).sortWithinPartitions(signal, segment, order).mapInArrow(run, out)
     return done.filter(F.col("error").isNull()).drop("error"), done.filter(F.col("error").isNotNull()).select(signal, segment, F.col("error").alias("reason"))
 
 

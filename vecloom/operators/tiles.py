@@ -30,14 +30,21 @@ TILE_ROWS = 2048
 PARTNERS = 8
 
 
-def _pivots(df: DataFrame, vector: str, metric: str) -> list[list[float]]:
-    """Three reference points: two rows and the far one from the first."""
-    rows = df.select(vector).orderBy(F.xxhash64(vector)).limit(2).collect()
-    points = [list(r[0]) for r in rows]
-    if points:
-        far = df.select(F.max_by(F.col(vector), _pivot_distance(F.col(vector), points[0], metric))).head()[0]
-        points.append(list(far))
-    return points
+def _pivots(df: DataFrame, vector: str) -> list[list[float]]:
+    """Three reference points, the same rows for any partitioning."""
+    rows = df.select(vector).orderBy(F.xxhash64(vector)).limit(3).collect()
+    return [list(r[0]) for r in rows]
+
+
+def _tile_size(rows: int, most: int, tasks: int) -> int:
+    """Largest tile that still makes a group of work for every task slot."""
+    size = most
+    while size > 256:
+        tiles = math.ceil(rows / size)
+        if tiles * math.ceil(tiles / PARTNERS) >= tasks:
+            break
+        size //= 2
+    return size
 
 
 def _pivot_distance(v, point: Sequence[float], metric: str):
@@ -60,13 +67,20 @@ def build_tiles(df: DataFrame, id_col: str, vector: str, carry: Sequence[str] =
         rows = rows.withColumn("_norm", norm).withColumn(
             "vec", F.transform("vec", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(x))
         ).drop("_norm")
-    points = _pivots(rows, "vec", metric) if pivots else []
+    n = rows.count()
+    tile_rows = _tile_size(n, tile_rows, df.sparkSession.sparkContext.defaultParallelism)
+    points = _pivots(rows, "vec") if pivots and n > tile_rows else []
     rows = rows.withColumn(
         "_pd", F.array(*[_pivot_distance(F.col("vec"), p, metric) for p in points]) if points else F.array().cast("array<double>")
     )
-    order = [F.get("_pd", F.lit(0))] if points else []
-    parts = max(1, math.ceil(rows.count() / (4 * tile_rows)))
-    rows = rows.repartitionByRange(parts, *order, F.xxhash64("id"), "id").sortWithinPartitions(*order, F.xxhash64("id"), "id")
+    parts = max(1, math.ceil(n / (4 * tile_rows)))
+    if points:
+        # Ties in the pivot distance are split by the hash, so crowded spots
+        # spread over several slices.
+        order = [F.get("_pd", F.lit(0)), F.xxhash64("id"), F.col("id")]
+        rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    else:
+        rows = rows.repartition(parts, "id")
     id_type = rows.schema["id"].dataType
     schema = T.StructType(
         [
@@ -123,13 +137,11 @@ def tile_pairs(tiles: DataFrame, radius: float | None = None, ordered: bool = Fa
     yields both (a, b) and (b, a); otherwise each pair once with a <= b.
     Only tile descriptions take part: one small row per ``tile_rows`` rows.
     """
-    meta = tiles.select("tile", "lo", "hi", F.lit(0).alias("_all"))
+    meta = tiles.select("tile", "lo", "hi")
     numbered = meta.withColumn("idx", F.row_number().over(Window.orderBy("tile")) - 1)
-    numbered = numbered.withColumn("last", F.count("*").over(Window.partitionBy("_all")) - 1)
-    start = F.lit(0).cast("bigint") if ordered else F.col("idx").cast("bigint")
+    start, last = F.lit(0) if ordered else F.col("idx"), F.lit(tiles.count() - 1)
     left = numbered.select(
-        F.col("tile").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"),
-        F.explode(F.sequence(start, F.col("last"))).alias("bi"),
+        F.col("tile").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(start, last)).alias("bi")
     )
     right = numbered.select(F.col("idx").alias("bi"), F.col("tile").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
     pairs = left.join(right, "bi")
@@ -137,8 +149,7 @@ def tile_pairs(tiles: DataFrame, radius: float | None = None, ordered: bool = Fa
         r = float(radius) * (1 + 1e-9) + 1e-9
         far = lambda x, y: F.exists(F.zip_with(x, y, lambda p, q: p - q > r), lambda z: z)
         pairs = pairs.filter(~far(F.col("alo"), F.col("bhi")) & ~far(F.col("blo"), F.col("ahi")))
-    w = Window.partitionBy("a").orderBy("b")
-    return pairs.select("a", "b").withColumn("chunk", F.floor((F.row_number().over(w) - 1) / PARTNERS).cast("int"))
+    return pairs.select("a", "b", F.floor(F.col("bi") / PARTNERS).cast("int").alias("chunk"))
 
 
 class Tile:
@@ -162,6 +173,11 @@ def run_tiles(tiles: DataFrame, pairs: DataFrame, kernel: Callable, schema: T.St
     ``kernel`` returns a list of column dicts (name -> numpy or Arrow array).
     """
     carry = list(carry)
+    count = tiles.count()
+    if not count:
+        return tiles.sparkSession.createDataFrame([], schema)
+    groups = count * math.ceil(count / PARTNERS)
+    slots = min(groups, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     role_a = pairs.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("tile"))
     role_b = pairs.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("tile"))
     work = role_a.union(role_b).join(tiles.select("tile", "n", "ids", "mat", *carry), "tile")
@@ -182,7 +198,9 @@ def run_tiles(tiles: DataFrame, pairs: DataFrame, kernel: Callable, schema: T.St
             parts.append(pa.table([pa.array(cols[n]) if not isinstance(cols[n], pa.Array) else cols[n] for n in names], names=names).cast(wanted))
         return pa.concat_tables(parts) if parts else wanted.empty_table()
 
-    return work.groupBy("a", "chunk").applyInArrow(run, schema)
+    # A fixed number of slices: the groups are heavy in work, not in bytes, and
+    # must not be merged into few tasks by size.
+    return work.repartition(slots, "a", "chunk").groupBy("a", "chunk").applyInArrow(run, schema)
 
 
 def prune_radius(eps: float, metric: str) -> float:
