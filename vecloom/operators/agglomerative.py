@@ -2,9 +2,10 @@
 
 Every cluster owns one row of statistics to all other clusters. A round finds
 the nearest cluster of each row, merges all reciprocal pairs at once, and
-folds the merged rows and columns; for the linkages offered here this gives
-the same tree as merging one pair at a time. Several (linkage, metric) trees
-advance in the same rounds.
+folds the merged rows and columns; for complete, average and ward linkage this
+gives the same tree as merging one pair at a time. Several (linkage, metric)
+trees advance in the same rounds. Single linkage keeps no matrix: its tree is
+the shortest spanning tree, found component by component.
 
 The matrix has n * n entries, spread over the executors, so exact trees are
 limited to ``MAX_POINTS`` rows; the driver holds a few numbers per row of
@@ -33,7 +34,6 @@ from vecloom.session import snapshot
 MAX_POINTS = 50_000
 TAIL = 256          # clusters left when one small task finishes a tree
 ROWS_PER_GROUP = 32
-FAN_IN = 32         # most clusters joined into one in a single-linkage round
 LINKAGES = ("single", "complete", "average", "ward")
 
 STATE = T.StructType(
@@ -55,8 +55,6 @@ def _join_rows(rows: list[np.ndarray], sizes: list[float], linkage: str, between
     """Statistics of a merged cluster to every other one, from its parts."""
     if linkage == "average":
         return np.sum(rows, axis=0)
-    if linkage == "single":
-        return np.min(rows, axis=0)
     if linkage == "complete":
         return np.max(rows, axis=0)
     if len(rows) == 1:
@@ -89,8 +87,6 @@ class _Round:
         cols = row[self.order]
         if self.linkage == "average":
             return np.add.reduceat(cols, self.starts)
-        if self.linkage == "single":
-            return np.minimum.reduceat(cols, self.starts)
         if self.linkage == "complete":
             return np.maximum.reduceat(cols, self.starts)
         out = cols[self.starts].copy()
@@ -182,14 +178,6 @@ def _initial(points: DataFrame, trees, n: int, weights: np.ndarray, tile_rows: i
     return snapshot(grouped.groupBy("metric", "bucket").applyInArrow(assemble, STATE), "matrix")
 
 
-def _at_least(linkage, height, *inside) -> float:
-    """Rounding must not place a merge below the merges it contains.
-
-    Single-linkage rounds add links in any order; theirs stay as they are.
-    """
-    return float(height) if linkage == "single" else float(max(height, *inside))
-
-
 class _Tree:
     """Driver-side record of one tree: a few numbers per cluster."""
 
@@ -212,19 +200,6 @@ class _Tree:
             j = nn_at[i]
             root_at[j] = i
             self._record(i, j, d[i], between)
-        if self.linkage == "single":
-            # Every nearest-cluster link is in the tree; take a bounded number per root.
-            fan = np.zeros(len(me), int)
-            loose = me[(root_at == me) & ~np.isin(me, first)]
-            home = np.full(len(me), -1)
-            home[first] = first
-            home[nn_at[first]] = first
-            for c in loose:
-                target = home[nn_at[c]]
-                if target >= 0 and fan[target] < FAN_IN - 2:
-                    fan[target] += 1
-                    root_at[c] = target
-                    self.merges.append((int(self.active[min(c, nn_at[c])]), int(self.active[max(c, nn_at[c])]), float(d[c]), 0.0))
         # The least member names the cluster.
         name = np.full(len(me), np.iinfo(np.int64).max)
         np.minimum.at(name, root_at, self.active)
@@ -239,7 +214,8 @@ class _Tree:
         return step
 
     def _record(self, i, j, height, between):
-        height = _at_least(self.linkage, height, self.last[i], self.last[j])
+        # Rounding must not place a merge below the merges it contains.
+        height = float(max(height, self.last[i], self.last[j]))
         self.formed[i] = height
         size = self.sizes[i] + self.sizes[j]
         self.merges.append((int(self.active[i]), int(self.active[j]), height, float(size)))
@@ -270,7 +246,7 @@ def _finish(trees: list[_Tree], state: DataFrame) -> list[list[tuple]]:
             np.fill_diagonal(h, np.inf)
             i, j = divmod(int(h.argmin()), len(active))
             raw = m[i, j]
-            height = _at_least(linkage, h[i, j], last[i], last[j])
+            height = max(float(h[i, j]), last[i], last[j])
             row = _join_rows([m[i], m[j]], [sizes[i], sizes[j]], linkage, raw, sizes)
             m[i], m[:, i] = row, row
             sizes[i] += sizes[j]
@@ -309,12 +285,17 @@ def agglomerative_many(df: DataFrame, id_col: str, vector: str, trees: Sequence[
     ranked = snapshot(global_rank(rows, ["id"], name="rank").withColumn("idx", (F.col("rank") - 1).cast("int")).drop("rank"), "points")
     weights = np.array([r["w"] for r in ranked.select("idx", "w").orderBy("idx").collect()])
     names = ranked.select("idx", "id")
-    held = [_Tree(l, weights) for l, _ in trees]
+    folded = [t for t in trees if t[0] != "single"]
     out_type = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("ia", T.IntegerType()),
                              T.StructField("ib", T.IntegerType()), T.StructField("height", T.DoubleType()), T.StructField("size", T.DoubleType())])
     merges = []
+    held = [_Tree(l, weights) for l, _ in folded]
     if n >= 2:
-        state = _initial(ranked, trees, n, weights, tile_rows)
+        for t, (linkage, metric) in enumerate(trees):
+            if linkage == "single":
+                merges += _ordered(t, _single_links(ranked, n, metric, tile_rows), weights)
+    if n >= 2 and folded:
+        state = _initial(ranked, folded, n, weights, tile_rows)
         while any(len(t.active) > tail for t in held):
             got = state.select("tree", "idx", "nn", "d").toPandas()
             steps, places = {}, []
@@ -328,8 +309,9 @@ def agglomerative_many(df: DataFrame, id_col: str, vector: str, trees: Sequence[
                 old = steps[t].active
                 places += [(t, int(i), int(p) // ROWS_PER_GROUP) for i, p in zip(old, steps[t].pos)]
             state = _fold(state, steps, spark.createDataFrame(places, "tree int, idx int, bucket int"))
+        places_of = [i for i, t in enumerate(trees) if t[0] != "single"]
         for t, (tree, last) in enumerate(zip(held, _finish(held, state))):
-            merges += _ordered(t, tree.linkage, tree.merges + last, weights)
+            merges += _ordered(places_of[t], tree.merges + last, weights)
     table = spark.createDataFrame(merges, out_type)
     named = table.join(names.select(F.col("idx").alias("ia"), F.col("id").alias("a")), "ia").join(names.select(F.col("idx").alias("ib"), F.col("id").alias("b")), "ib")
     return named.select("tree", "step", F.col("a").cast(id_field.dataType).alias("a"), F.col("b").cast(id_field.dataType).alias("b"), "height", "size")
@@ -356,9 +338,9 @@ def _fold(state: DataFrame, steps: dict[int, _Round], places: DataFrame) -> Data
     return snapshot(work.select("tree", "idx", "row", "bucket").groupBy("tree", "bucket").applyInArrow(run, STATE), "matrix")
 
 
-def _ordered(tree: int, linkage: str, merges: list[tuple], weights: np.ndarray) -> list[tuple]:
-    """Merges by height; for single linkage the links become merges here."""
-    ranked = sorted(range(len(merges)), key=lambda i: (merges[i][2], i) if linkage != "single" else (merges[i][2], merges[i][0], merges[i][1]))
+def _ordered(tree: int, merges: list[tuple], weights: np.ndarray) -> list[tuple]:
+    """Merges by height, named by the least members of the clusters they join."""
+    ranked = sorted(range(len(merges)), key=lambda i: (merges[i][2], i))
     out, parent, size = [], list(range(len(weights))), weights.astype(float).copy()
 
     def find(x):
@@ -375,6 +357,44 @@ def _ordered(tree: int, linkage: str, merges: list[tuple], weights: np.ndarray)
     return out
 
 
+def _single_links(points: DataFrame, n: int, metric: str, tile_rows: int) -> list[tuple]:
+    """Links (u, v, distance) of the shortest spanning tree, by rising distance.
+
+    Each round finds the shortest link out of every component in one tile pass
+    and adds them all, so the components at least halve; no matrix is kept.
+    """
+    tiles = build_tiles(points, "idx", "vec", tile_rows=tile_rows)
+    pairs = tile_pairs(tiles, ordered=True)
+    schema = T.StructType(
+        [T.StructField("comp", T.IntegerType()), T.StructField("d", T.DoubleType()), T.StructField("u", T.IntegerType()), T.StructField("v", T.IntegerType())]
+    )
+    comp, links = np.arange(n), []
+    while len(np.unique(comp)) > 1:
+        now = comp.copy()
+
+        def kernel(a, partners, now=now):
+            mine = now[a.ids]
+            best, far = np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+            for b in partners:
+                d = arrow.distances(a.x, b.x, metric)
+                d[mine[:, None] == now[b.ids][None, :]] = np.inf
+                low = d.min(axis=1)
+                # Equal distances go to the lower pair of ids, so links never form a ring.
+                tied = np.where(d == low[:, None], np.broadcast_to(b.ids, d.shape), n).min(axis=1)
+                better = (low < best) | ((low == best) & (tied < far))
+                best, far = np.where(better, low, best), np.where(better, tied, far)
+            keep = np.isfinite(best)
+            yield {"comp": mine[keep], "d": best[keep], "u": np.minimum(a.ids, far)[keep], "v": np.maximum(a.ids, far)[keep]}
+
+        found = run_tiles(tiles, pairs, kernel, schema)
+        for r in found.groupBy("comp").agg(F.min(F.struct("d", "u", "v")).alias("m")).select("m.*").distinct().collect():
+            a, b = comp[r["u"]], comp[r["v"]]
+            if a != b:
+                comp[comp == max(a, b)] = min(a, b)
+                links.append((r["u"], r["v"], r["d"]))
+    return sorted(links, key=lambda x: (x[2], x[0], x[1]))
+
+
 def agglomerative(df: DataFrame, id_col: str, vector: str, linkage: str = "average", metric: str = "euclidean", **options) -> DataFrame:
     return agglomerative_many(df, id_col, vector, [(linkage, metric)], **options).drop("tree")
 
