@@ -99,8 +99,9 @@ def test_weighted_tree(spark):
 
 def test_ties_still_give_a_whole_tree(spark):
     df = spark.createDataFrame([(i, [float(i % 4), float(i // 4)]) for i in range(16)], "id int, v array<double>")
-    for linkage in G.LINKAGES:
-        rows = G.agglomerative(df, "id", "v", linkage, tail=3, tile_rows=5).orderBy("step").collect()
+    every = G.agglomerative_many(df, "id", "v", [(l, "euclidean") for l in G.LINKAGES], tail=3, tile_rows=5).orderBy("step").collect()
+    for t in range(len(G.LINKAGES)):
+        rows = [r for r in every if r["tree"] == t]
         assert len(rows) == 15 and rows[-1]["size"] == 16
         assert all(a["height"] <= b["height"] for a, b in zip(rows, rows[1:]))
 
@@ -135,6 +136,8 @@ def test_hier_assign_rules(points):
     rows = G.hier_assign(shifted, "id", "v").collect()
     assert len(rows) == 110 and {r["hier_level1_id"] for r in rows} == {0, 1} and {r["hier_level2_id"] for r in rows} == {0, 1, 2}
     assert all(0.1 <= r["confidence"] <= 1.0 and r["hier_distance"] > 0 for r in rows)
+    large = G.hier_assign(shifted, "id", "v", max_points=40, size=20).collect()
+    assert len(large) == 110 and {r["hier_level2_id"] for r in large} == {0, 1, 2}
 
 
 def test_hier_select_scores_every_setting(points):

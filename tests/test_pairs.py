@@ -69,14 +69,17 @@ def test_components_chain_star_and_groups(spark, small):
     assert len(got) == len({(k, x) for k, a, b in edges for x in (a, b)})
 
 
-@pytest.mark.parametrize("eps,least", [(0.3, 3), (0.3, 25), (0.25, 4), (5.0, 3), (0.001, 2), (0.001, 50)])
-def test_dbscan(points, blobs, eps, least):
-    label, core = brute.dbscan(blobs, eps, least)
-    for tile_rows in (11, 500):
-        got = D.dbscan(points, "id", "v", eps, least, tile_rows=tile_rows).orderBy("id").collect()
-        assert [r["cluster_id"] for r in got] == list(label)
-        assert [r["is_core"] for r in got] == list(core)
-        assert sum(r["is_seed"] for r in got) == len(set(label) - {-1})
+@pytest.mark.parametrize("tile_rows,small", [(11, 0), (11, 100_000), (500, 100_000)])
+def test_dbscan(points, blobs, tile_rows, small, monkeypatch):
+    monkeypatch.setattr(P, "SMALL_EDGES", small)
+    configs = [(0.3, 3), (0.3, 25), (0.25, 4), (5.0, 3), (0.001, 2), (0.001, 50)]
+    got = D.dbscan_many(points, "id", "v", configs, tile_rows=tile_rows).orderBy("id").collect()
+    for cfg, (eps, least) in enumerate(configs):
+        label, core = brute.dbscan(blobs, eps, least)
+        mine = [r for r in got if r["cfg"] == cfg]
+        assert [r["cluster_id"] for r in mine] == list(label)
+        assert [r["is_core"] for r in mine] == list(core)
+        assert sum(r["is_seed"] for r in mine) == len(set(label) - {-1})
 
 
 @pytest.mark.parametrize("metric,eps", [("manhattan", 0.5), ("cosine", 0.002)])

@@ -115,6 +115,12 @@ def test_upsert_rules_and_idempotence(spark):
     assert sorted(tuple(r) for r in sinks.upsert(once, new).collect()) == rows
 
 
+def test_upsert_of_a_repeated_key_takes_the_last(spark):
+    stored = spark.createDataFrame([("a", "gmm", 1)], "song_id string, algorithm string, gmm_cluster_id int")
+    new = spark.createDataFrame([("a", "gmm", 7, 2), ("a", "gmm", 5, 1), ("b", "gmm", 3, 1)], "song_id string, algorithm string, gmm_cluster_id int, t int")
+    assert sorted(tuple(r) for r in sinks.upsert(stored, new, order=["t"]).collect()) == [("a", "gmm", 7), ("b", "gmm", 3)]
+
+
 def test_insert_ignore_first_wins(spark):
     stored = spark.createDataFrame([("a", "old")], "k string, v string")
     new = spark.createDataFrame([("a", "x", 0), ("b", "second", 2), ("b", "first", 1)], "k string, v string, t int")

@@ -456,10 +456,19 @@ def merge_height(merges: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return cut_levels(merges, ids, [k]).select("id", "merge_height")
 
 
-def hier_assign(df: DataFrame, id_col: str, vector: str, linkage: str = "average", metric: str = "cosine", broad: int = 2, fine: int = 3, **options) -> DataFrame:
-    """Result rows with both levels, intra-cluster distance and confidence."""
-    merges = agglomerative(df, id_col, vector, linkage, metric, **options)
-    cuts = snapshot(cut_levels(merges, df.select(id_col), sorted({broad, fine})), "cuts")
+def hier_assign(df: DataFrame, id_col: str, vector: str, linkage: str = "average", metric: str = "cosine", broad: int = 2, fine: int = 3, max_points: int = MAX_POINTS, **options) -> DataFrame:
+    """Result rows with both levels, intra-cluster distance and confidence.
+
+    Both levels come from one tree: exact up to ``max_points`` rows, over
+    weighted k-means centres beyond.
+    """
+    ks = sorted({broad, fine})
+    if df.count() <= max_points:
+        merges = agglomerative(df, id_col, vector, linkage, metric, max_points=max_points, **options)
+        cuts = cut_levels(merges, df.select(id_col), ks).select("k", "id", "label")
+    else:
+        cuts = large_levels(df, id_col, vector, ks, linkage, metric, "micro", **options)
+    cuts = snapshot(cuts, "cuts")
     level1 = cuts.filter(F.col("k") == broad).select("id", F.col("label").alias("hier_level1_id"))
     level2 = cuts.filter(F.col("k") == fine).select("id", F.col("label").alias("hier_level2_id"))
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec")).join(level2, "id")
@@ -474,14 +483,15 @@ def hier_assign(df: DataFrame, id_col: str, vector: str, linkage: str = "average
     )
 
 
-def hier_large(df: DataFrame, id_col: str, vector: str, k: int, linkage: str = "average", metric: str = "euclidean", mode: str = "sample", size: int = 1000, seed: int = 42, **options) -> DataFrame:
-    """``(id, label)`` for tables too large for an exact tree.
+def large_levels(df: DataFrame, id_col: str, vector: str, ks: Sequence[int], linkage: str = "average", metric: str = "euclidean", mode: str = "sample", size: int = 1000, seed: int = 42, **options) -> DataFrame:
+    """``(k, id, label)`` of several levels for tables too large for an exact tree.
 
     sample  tree over a seeded sample; every row takes the cluster of the
             nearest sample-cluster mean
     micro   k-means with ``size`` centres; tree over the centres weighted by
             their rows; every row takes the cluster of its centre
     """
+    ks = [int(k) for k in ks]
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"))
     if metric == "cosine":
         norm = F.sqrt(V.dot("vec", "vec"))
@@ -492,15 +502,25 @@ def hier_large(df: DataFrame, id_col: str, vector: str, k: int, linkage: str = "
         near = snapshot(near.select("id", "micro"), "micro")
         counts = near.groupBy("micro").agg(F.count("*").alias("w"))
         table = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centres)], "micro int, vec array<double>")
-        live = table.join(counts, "micro")
+        live = snapshot(table.join(counts, "micro"), "live")
         merges = agglomerative(live, "micro", "vec", linkage, metric, weight="w", **options)
-        labels = cut_tree(merges, live.select("micro"), k).withColumnRenamed("id", "micro")
-        return near.join(labels, "micro").select("id", "label")
+        labels = cut_levels(merges, live.select("micro"), ks).select("k", F.col("id").alias("micro"), "label")
+        return near.join(F.broadcast(labels), "micro").select("k", "id", "label")  # size * levels rows
     sample = snapshot(sample_n(rows, "id", size, seed), "sample")
     merges = agglomerative(sample, "id", "vec", linkage, metric, **options)
-    labels = cut_tree(merges, sample.select("id"), k)
-    means = sample.join(labels, "id").groupBy("label").agg(mean_vector("vec").alias("c")).orderBy("label").collect()
-    return point_to_centroid(rows, "vec", np.array([list(m["c"]) for m in means]), "label", "_d").select("id", "label")
+    labels = sample.join(cut_levels(merges, sample.select("id"), ks), "id")
+    means = labels.groupBy("k", "label").agg(mean_vector("vec").alias("c")).orderBy("k", "label").collect()
+    out = None
+    for k in ks:
+        centres = np.array([list(m["c"]) for m in means if m["k"] == k])
+        one = point_to_centroid(rows, "vec", centres, "label", "_d").select(F.lit(k).alias("k"), "id", "label")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def hier_large(df: DataFrame, id_col: str, vector: str, k: int, linkage: str = "average", metric: str = "euclidean", mode: str = "sample", size: int = 1000, seed: int = 42, **options) -> DataFrame:
+    """``(id, label)`` of one level; see ``large_levels``."""
+    return large_levels(df, id_col, vector, [k], linkage, metric, mode, size, seed, **options).select("id", "label")
 
 
 def selection_grid(ks: Sequence[int]) -> list[tuple[int, str, str]]:

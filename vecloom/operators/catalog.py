@@ -15,14 +15,15 @@ from vecloom.session import snapshot
 
 def skip_processed(source: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Split the source into (still to do, already processed)."""
-    ids = done.select(F.col(done_key or key).alias("_done"))
+    # Distinct first: a key stored many times combines before the shuffle.
+    ids = done.select(F.col(done_key or key).alias("_done")).distinct()
     match = F.col(key) == F.col("_done")
     return source.join(ids, match, "left_anti"), source.join(ids, match, "left_semi")
 
 
 def except_ids(source: DataFrame, done: DataFrame, key: str, done_key: str | None = None) -> DataFrame:
-    ids = done.select(F.col(done_key or key).alias(key))
-    return source.select(key).join(ids, key, "left_anti").distinct()
+    ids = done.select(F.col(done_key or key).alias(key)).distinct()
+    return source.select(key).distinct().join(ids, key, "left_anti")
 
 
 def run_summary(source: DataFrame, done: DataFrame, key: str, done_key: str | None = None, ok: str | None = None, seconds: str | None = None) -> DataFrame:

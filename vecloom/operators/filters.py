@@ -86,9 +86,10 @@ def outside_domain(df: DataFrame, keys: Sequence[str], column: str, domain: Sequ
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str, constraint: str) -> DataFrame:
     keys = parent.select(F.col(pk).alias("_pk"))
-    bad = child.filter(F.col(fk).isNotNull()).join(keys, F.col(fk) == F.col("_pk"), "left_anti")
+    # Children are counted per key before the join, so a key with very many is one row.
+    per_key = child.filter(F.col(fk).isNotNull()).groupBy(fk).agg(F.count("*").alias("n_rows"))
     return (
-        bad.groupBy(fk).agg(F.count("*").alias("n_rows"))
+        per_key.join(keys, F.col(fk) == F.col("_pk"), "left_anti")
         .select(F.lit(constraint).alias("constraint"), F.to_json(F.struct(fk)).alias("key"), "n_rows")
     )
 

@@ -57,13 +57,6 @@ def steps(df: DataFrame, id_col: str, vector: str, options: dict | None = None)
         return gmm.gmm_assign(df, id_col, vector, model)
 
     def run_hierarchical():
-        if df.count() > agglomerative.MAX_POINTS:
-            # Too many rows for an exact tree: both levels come from a weighted one.
-            broad, fine = (
-                agglomerative.hier_large(df, id_col, vector, k, metric="cosine", mode="micro") for k in (2, 3)
-            )
-            joined = broad.select("id", F.col("label").alias("hier_level1_id")).join(fine.select("id", F.col("label").alias("hier_level2_id")), "id")
-            return joined.select(F.col("id").alias("song_id"), F.lit("hierarchical").alias("algorithm"), "hier_level1_id", "hier_level2_id")
         return agglomerative.hier_assign(df, id_col, vector, **opt["hierarchical"])
 
     def run_dbscan():
