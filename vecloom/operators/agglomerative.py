@@ -570,3 +570,11 @@ def hier_select(df: DataFrame, id_col: str, vector: str, ks: Sequence[int] | Non
         .withColumn("composite", scores.composite_score("silhouette", "balance"))
         .withColumn("quality", scores.balance_quality("silhouette", "balance"))
     )
+
+
+def hier_final(df: DataFrame, id_col: str, vector: str, k: int, linkage: str, metric: str, max_points: int = MAX_POINTS, **options) -> DataFrame:
+    """``(id, label)`` of the chosen setting on the whole table."""
+    if df.count() > max_points:
+        return hier_large(df, id_col, vector, k, linkage, metric, "micro", **options)
+    merges = agglomerative(df, id_col, vector, linkage, metric, max_points=max_points, **options)
+    return cut_tree(merges, df.select(id_col), k)

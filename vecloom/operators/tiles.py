@@ -177,7 +177,9 @@ def run_tiles(tiles: DataFrame, pairs: DataFrame, kernel: Callable, schema: T.St
     if not count:
         return tiles.sparkSession.createDataFrame([], schema)
     groups = count * math.ceil(count / PARTNERS)
-    slots = min(groups, int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = tiles.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    slots = min(groups, wide)
     role_a = pairs.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("tile"))
     role_b = pairs.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("tile"))
     work = role_a.union(role_b).join(tiles.select("tile", "n", "ids", "mat", *carry), "tile")

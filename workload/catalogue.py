@@ -59,7 +59,7 @@ def tracks(s, d):
         F.when(
             F.col("role") != "system",
             F.struct(
-                F.when(F.col("turn") % 5 == 4, "").otherwise(F.concat_ws("-", "conv_id", "turn")).alias("id"),
+                F.when(F.col("turn") == 4, "").otherwise(F.concat_ws("-", "conv_id", "turn")).alias("id"),
                 F.when(F.col("turn") != 3, F.col("text")).alias("name"),
                 F.when(F.col("role") == "assistant", F.array(F.struct(F.lit("a1").alias("id"), F.col("role").alias("name")), F.struct(F.lit("a2").alias("id"), F.lit("x").alias("name"))))
                 .otherwise(F.array().cast("array<struct<id:string,name:string>>")).alias("artists"),
@@ -68,7 +68,7 @@ def tracks(s, d):
     )
 
 
-@query("valid_tracks", "SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND turn % 5 <> 4 AND turn <> 3")
+@query("valid_tracks", "SELECT conv_id, turn FROM conversations WHERE role <> 'system' AND turn NOT IN (3, 4)")
 def valid_tracks(s, d):
     from vecloom.sources.records import valid_tracks as keep
 
@@ -77,7 +77,7 @@ def valid_tracks(s, d):
 
 @query(
     "track_fields",
-    """SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL WHEN turn % 5 = 4 THEN '' ELSE conv_id || '-' || turn END AS song_id,
+    """SELECT conv_id, turn, CASE WHEN role = 'system' THEN NULL WHEN turn = 4 THEN '' ELSE conv_id || '-' || turn END AS song_id,
               CASE WHEN role = 'assistant' THEN 'a1' ELSE 'unknown' END AS artist_id,
               CASE WHEN role <> 'system' AND turn <> 3 THEN text END AS song_name,
               CASE WHEN role = 'assistant' THEN role ELSE 'Unknown Artist' END AS artist_name FROM conversations""",
@@ -288,11 +288,11 @@ def compare_clusterings(s, d):
     return quality.compare_clusterings(pairs(s, d)).withColumn("adjusted_rand", r6("adjusted_rand"))
 
 
-DONE_SQL = "done AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R')"
+DONE_SQL = "done AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45)"
 
 
 def done_parts(s, d):
-    return table(s, d, "lineitem").filter("l_returnflag = 'R'").select("l_partkey")
+    return table(s, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 45").select("l_partkey")
 
 
 @query("skip_processed", f"WITH {DONE_SQL} SELECT p_partkey, p_partkey NOT IN (SELECT l_partkey FROM done) AS todo FROM part")
@@ -391,16 +391,16 @@ def union_results(s, d):
 
 # --- scores ---------------------------------------------------------------
 
-SUPPLY_SQL = """g AS (SELECT l_suppkey AS cfg, avg(l_discount) * 8 AS silhouette, min(l_quantity) / max(l_quantity) * 10 AS balance,
-  (count(*) % 13)::INTEGER AS n_clusters, avg(l_tax) * 3 AS noise_ratio, count(*) AS size, avg(l_discount) * 10 - 0.4 AS s2 FROM lineitem GROUP BY 1)"""
+SUPPLY_SQL = """g AS (SELECT l_suppkey AS cfg, (avg(l_discount) * 1000 - 48) / 5 AS silhouette, (avg(l_quantity) - 24.5) / 2 AS balance,
+  (sum(round(l_tax * 100)::BIGINT) * 10 // count(*) - 36)::INTEGER AS n_clusters, abs(avg(l_tax) * 1000 - 40) / 10 AS noise_ratio, count(*) AS size, (avg(l_discount) * 1000 - 49) / 3 AS s2 FROM lineitem GROUP BY 1)"""
 
 
 def settings(s, d):
     """One made setting per supplier, so that scoring rules see varied input."""
     return snapshot(table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("cfg")).agg(
-        (F.avg("l_discount") * 8).alias("silhouette"), (F.min("l_quantity") / F.max("l_quantity") * 10).alias("balance"),
-        (F.count("*") % 13).cast("int").alias("n_clusters"), (F.avg("l_tax") * 3).alias("noise_ratio"), F.count("*").alias("size"),
-        (F.avg("l_discount") * 10 - 0.4).alias("s2"),
+        ((F.avg("l_discount") * 1000 - 48) / 5).alias("silhouette"), ((F.avg("l_quantity") - 24.5) / 2).alias("balance"),
+        F.expr("cast(sum(cast(round(l_tax * 100) as bigint)) * 10 div count(*) - 36 as int)").alias("n_clusters"), (F.abs(F.avg("l_tax") * 1000 - 40) / 10).alias("noise_ratio"), F.count("*").alias("size"),
+        ((F.avg("l_discount") * 1000 - 49) / 3).alias("s2"),
     ))
 
 

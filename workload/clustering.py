@@ -337,6 +337,15 @@ def merge_height(s, d):
 query("hier_assign")(lambda s, d: G.hier_assign(vectors(s, d), "vec_id", "v"))
 query("hier_large")(lambda s, d: G.hier_large(vectors(s, d), "vec_id", "v", 3, "ward", size=200))
 query("hier_large_micro")(lambda s, d: G.hier_large(vectors(s, d), "vec_id", "v", 3, "ward", mode="micro", size=100))
+
+
+@query("hier_final")
+def hier_final(s, d):
+    v = vectors(s, d)
+    best = G.hier_select(v, "vec_id", "v", ks=[3, 4]).orderBy(F.desc("composite"), "cfg").head()
+    return G.hier_final(v, "vec_id", "v", best["k"], best["linkage"], best["metric"])
+
+
 query("hier_select")(lambda s, d: G.hier_select(vectors(s, d), "vec_id", "v"))
 
 
@@ -473,14 +482,14 @@ def evaluate_clustering(s, d):
 
 @query(
     "evaluate_levels",
-    f"""WITH {E}, x AS (SELECT vec_id AS id, v, label % 3 AS label FROM e), {_silhouette_sql('x', 'a')},
+    f"""WITH {E}, x AS (SELECT vec_id AS id, v, label // 4 AS label FROM e), {_silhouette_sql('x', 'a')},
         y AS (SELECT vec_id AS id, v, label FROM e WHERE label <> 0), {_silhouette_sql('y', 'b')},
         z AS (SELECT 1 AS level, label, count(*) AS n FROM x GROUP BY 2 UNION ALL SELECT 2, label, count(*) FROM y GROUP BY 2)
         SELECT level, round(max(CASE level WHEN 1 THEN (SELECT avg(silhouette) FROM ass) ELSE (SELECT avg(silhouette) FROM bss) END), 6) + 0.0 AS silhouette,
           count(*) AS cluster_count, sum(n)::BIGINT AS total_points, round(1 / (1 + stddev_pop(n) / avg(n)), 6) AS balance_score FROM z GROUP BY level""",
 )
 def evaluate_levels(s, d):
-    rows = vectors(s, d).select("vec_id", "v", (F.col("label") % 3).alias("l1"), F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("l2"))
+    rows = vectors(s, d).select("vec_id", "v", F.floor(F.col("label") / 4).cast("int").alias("l1"), F.when(F.col("label") == 0, -1).otherwise(F.col("label")).alias("l2"))
     out = Q.evaluate_levels(rows, "vec_id", "v", "l1", "l2")
     return out.select("level", r6("silhouette").alias("silhouette"), "cluster_count", "total_points", r6("balance_score").alias("balance_score"))
 

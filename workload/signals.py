@@ -234,3 +234,48 @@ def song_features(s, d):
         "user_id", r6("duration_sec", 4).alias("duration_sec"), "segments", r6("global_bpm").alias("global_bpm"), "reason"
     )
     return good.unionByName(bad, allowMissingColumns=True)
+
+
+DONE_SIGNALS = "done AS (SELECT DISTINCT user_id FROM events WHERE value > 350)"
+
+
+@query(
+    "ingest",
+    _song_sql()
+    + f""", {DONE_SIGNALS}, v AS (SELECT user_id, list_sum(v) AS total FROM flat)
+    SELECT f.user_id, CASE WHEN duration_sec > 2570000 THEN 'too long' WHEN v.user_id IS NULL THEN 'no segment kept' END AS reason,
+           CASE WHEN duration_sec <= 2570000 THEN round(total, 3) + 0.0 END AS total
+    FROM signal f LEFT JOIN v USING (user_id) WHERE f.user_id NOT IN (SELECT user_id FROM done)""",
+)
+def ingest(s, d):
+    """Signals without a loud event are still to do; their features, or why not."""
+    from vecloom.plans.ingest import ingest as run
+
+    events = table(s, d, "events")
+    source, done = events.select("user_id").distinct(), events.filter("value > 350").select("user_id").distinct()
+    rows, items = song_parts(s, d)
+    got = run(source, done, items, rows, "user_id", min_rms=25.0, max_seconds=2_570_000.0)
+    total = F.aggregate("feature_vector", F.lit(0.0), lambda a, x: a + x)
+    good = got.rows.select("user_id", F.lit(None).cast("string").alias("reason"), r6(total, 3).alias("total"))
+    return good.unionByName(got.rejects.select("user_id", "reason"), allowMissingColumns=True)
+
+
+query(
+    "refresh_owner_vectors",
+    _song_sql()
+    + """, l AS (SELECT event_type AS artist_id, user_id, v FROM flat JOIN (SELECT user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY 1) USING (user_id)),
+    x AS (SELECT artist_id, user_id, unnest(range(223))::INTEGER AS pos, unnest(v) AS x FROM l)
+    SELECT artist_id, pos, round(avg(x), 4) + 0.0 AS x FROM x GROUP BY 1, 2 HAVING count(*) >= 5""",
+)(lambda s, d: owner_vectors(s, d))
+
+
+def owner_vectors(s, d):
+    """Owners are the types of the signals' first events."""
+    from vecloom.plans.ingest import refresh_owner_vectors
+
+    first = table(s, d, "events").groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("artist_id"))
+    kept, _ = flat_songs(s, d)
+    songs = kept.select("user_id", V.flatten_features("audio_features").alias("feature_vector")).join(first, "user_id")
+    artists = songs.groupBy("artist_id").agg(F.count("*").alias("n")).select("artist_id", F.lit(None).cast("array<double>").alias("feature_vector"))
+    out = refresh_owner_vectors(artists, songs).filter("feature_vector IS NOT NULL")
+    return long(out, "feature_vector", "artist_id", places=4)
