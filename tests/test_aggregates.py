@@ -79,6 +79,16 @@ def test_segments_of_short_and_long_signals(spark):
     assert got["long"][0] == 2 and sorted(got["long"][1]) == [0, 1]
 
 
+def test_energy_of_a_segment_over_many_slices(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=900)
+    df = spark.createDataFrame([("s", 0, i, float(v)) for i, v in enumerate(x)] + [("t", 0, 0, 2.0)], "s string, g int, t int, x double").repartition(5)
+    got = {r["s"]: r for r in S.segment_energy(df, "s", "g", ["t"], "x").collect()}
+    flips = int((np.diff((x < 0).astype(int)) != 0).sum())
+    assert got["s"]["n_samples"] == 900 and got["s"]["zero_crossing_rate"] == pytest.approx(flips / 900) and got["s"]["rms"] == pytest.approx(np.sqrt((x * x).mean()))
+    assert (got["t"]["rms"], got["t"]["zero_crossing_rate"]) == (2.0, 0.0)
+
+
 def test_item_without_kept_segment_is_rejected(spark):
     emb = F.array_repeat(F.lit(0.5), 128)
     coef = F.array_repeat(F.lit(1.0), 13)

@@ -24,11 +24,19 @@ def test_eps_join(points, blobs, metric, eps, tile_rows):
     df = points.withColumn("v", F.transform("v", lambda e: e + 20)) if metric == "cosine" else points
     d = brute.dist(x, x, metric)
     want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if d[i, j] <= eps}
-    got = T.eps_join(df, "id", "v", eps, metric, tile_rows=tile_rows).collect()
+    got = T.eps_join(df, "id", "v", eps, metric, collapse=False, tile_rows=tile_rows).collect()
     assert len(got) == len(want) and {(r["id_a"], r["id_b"]) for r in got} == want
     assert max(abs(r["distance"] - d[r["id_a"], r["id_b"]]) for r in got) < 1e-9
 
 
+def test_copies_give_one_row(points, blobs):
+    got = T.eps_join(points, "id", "v", 0.5, tile_rows=10).collect()
+    d = brute.dist(blobs, blobs)
+    total = sum(r["n_a"] * r["n_b"] if r["id_a"] != r["id_b"] else r["n_a"] * (r["n_a"] - 1) // 2 for r in got)
+    assert total == int(np.triu(d <= 0.5, 1).sum())
+    assert [(r["id_a"], r["n_a"]) for r in got if r["id_a"] == r["id_b"]] == [(0, 21)]
+
+
 def test_far_tiles_are_not_visited(points):
     tiles = T.build_tiles(points, "id", "v", tile_rows=7, pivots=True)
     n = tiles.count()
@@ -51,7 +59,7 @@ def test_knn(points, blobs, skip_zero):
 
 def test_string_ids(spark, points, blobs):
     df = points.select(F.format_string("s%04d", "id").alias("id"), "v")
-    got = T.eps_join(df, "id", "v", 0.5, tile_rows=10).collect()
+    got = T.eps_join(df, "id", "v", 0.5, collapse=False, tile_rows=10).collect()
     d = brute.dist(blobs, blobs)
     assert len(got) == int((np.triu(d <= 0.5, 1)).sum())
 
@@ -112,12 +120,14 @@ def test_partition_does_not_depend_on_order(spark, blobs):
 
 def test_grid_shares_passes(points, blobs):
     configs = [(0.25, 4), (0.3, 3), (0.3, 25)]
-    got = {(r["eps"], r["min_samples"]): r for r in N.dbscan_grid(points, "id", "v", configs, tile_rows=20).collect()}
+    grid, sizes = N.dbscan_grid(points, "id", "v", configs, tile_rows=20)
+    got = {(r["eps"], r["min_samples"]): r for r in grid.collect()}
+    counted = {(r["eps"], r["min_samples"], r["cluster_id"]): r["size"] for r in sizes.collect()}
     for eps, least in configs:
         label, _ = brute.dbscan(blobs, eps, least)
         r = got[(eps, least)]
         assert r["n_clusters"] == len(set(label) - {-1}) and r["n_noise"] == int((label == -1).sum())
-        assert r["cluster_sizes"] == [int((label == c).sum()) for c in range(1, r["n_clusters"] + 1)]
+        assert [counted[(eps, least, c)] for c in range(1, r["n_clusters"] + 1)] == [int((label == c).sum()) for c in range(1, r["n_clusters"] + 1)]
         keep = label != -1
         if r["n_clusters"] > 1:
             want = brute.silhouette(brute.dist(blobs[keep], blobs[keep]), label[keep]).mean()

@@ -76,24 +76,27 @@ def eps_suggestions(curve: DataFrame, keep: int = 3) -> DataFrame:
     return joined.select("min_samples", "p85", "p90", "p95", scores.eps_suggestions(candidates, keep).alias("eps"))
 
 
-def dbscan_grid(df: DataFrame, id_col: str, vector: str, configs: Sequence[tuple[float, int]], metric: str = "euclidean", tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Counts, sizes and silhouette of every setting, from shared pair passes."""
+def dbscan_grid(df: DataFrame, id_col: str, vector: str, configs: Sequence[tuple[float, int]], metric: str = "euclidean", tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Every setting scored from shared pair passes.
+
+    Returns ``(eps, min_samples, n_clusters, n_noise, noise_ratio,
+    silhouette)`` and the cluster sizes ``(eps, min_samples, cluster_id,
+    size)``; the latter stay rows, as a setting can have very many clusters.
+    """
     configs = [(float(e), int(m)) for e, m in configs]
     labels = snapshot(D.dbscan_many(df, id_col, vector, configs, metric, tile_rows), "labels")
     table = df.sparkSession.createDataFrame([(i, e, m) for i, (e, m) in enumerate(configs)], "cfg int, eps double, min_samples int")
     info = D.density_info(labels, ["cfg"]).select("cfg", "n_clusters", "n_noise", "noise_ratio")
     real = labels.filter(F.col("cluster_id") != D.NOISE)
-    sizes = real.groupBy("cfg", "cluster_id").agg(F.count("*").alias("n")).groupBy("cfg").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "n"))), lambda s: s["n"]).alias("cluster_sizes")
-    )
+    sizes = real.groupBy("cfg", "cluster_id").agg(F.count("*").alias("size")).join(F.broadcast(table), "cfg")
     sil = mean_silhouette(silhouette_many(df, id_col, vector, real.select("cfg", "id", F.col("cluster_id").alias("label")), len(configs), metric, tile_rows), ["cfg"])
-    return (
-        table.join(info, "cfg").join(sil.select("cfg", "silhouette"), "cfg", "left").join(sizes, "cfg", "left")
+    grid = (
+        table.join(info, "cfg").join(sil.select("cfg", "silhouette"), "cfg", "left")
         .select(
-            "eps", "min_samples", "n_clusters", "n_noise", "noise_ratio",
-            F.coalesce("silhouette", F.lit(float("nan"))).alias("silhouette"), F.coalesce("cluster_sizes", F.array().cast("array<bigint>")).alias("cluster_sizes"),
+            "eps", "min_samples", "n_clusters", "n_noise", "noise_ratio", F.coalesce("silhouette", F.lit(float("nan"))).alias("silhouette")
         )
     )
+    return grid, sizes.select("eps", "min_samples", "cluster_id", "size")
 
 
 def best_params(grid: DataFrame) -> DataFrame:

@@ -53,15 +53,28 @@ def assign_segments(samples: DataFrame, signal: str, t: str, length: float = 10.
 
 
 def segment_energy(samples: DataFrame, signal: str, segment: str, order: Sequence[str], value: str) -> DataFrame:
-    """Samples, RMS and zero-crossing rate (sign changes per sample) per segment."""
-    w = Window.partitionBy(signal, segment).orderBy(*order)
-    flips = samples.withColumn("_neg", (F.col(value) < 0).cast("int")).withColumn(
-        "_flip", F.coalesce(F.abs(F.col("_neg") - F.lag("_neg").over(w)), F.lit(0))
+    """Samples, RMS and zero-crossing rate (sign changes per sample) per segment.
+
+    Rows are cut into range slices in signal order; sign changes are counted
+    inside each slice and then between the ends of neighbouring slices, so a
+    segment with very many samples spreads over tasks.
+    """
+    keys = [signal, segment]
+    sliced = (
+        samples.select(*keys, *order, F.col(value).alias("_v"), (F.col(value) < 0).cast("int").alias("_neg"))
+        .repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+    )
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    flips = sliced.withColumn("_flip", F.coalesce(F.abs(F.col("_neg") - F.lag("_neg").over(w)), F.lit(0)))
+    part = flips.groupBy(*keys, "_slice").agg(
+        F.count("*").alias("n"), F.sum(F.col("_v") * F.col("_v")).alias("sq"), F.sum("_flip").alias("flips"),
+        F.min_by("_neg", F.struct(*order)).alias("first"), F.max_by("_neg", F.struct(*order)).alias("last"),
     )
-    return flips.groupBy(signal, segment).agg(
-        F.count("*").alias("n_samples"),
-        F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"),
-        (F.sum("_flip") / F.count("*")).alias("zero_crossing_rate"),
+    seam = F.coalesce(F.abs(F.col("first") - F.lag("last").over(Window.partitionBy(*keys).orderBy("_slice"))), F.lit(0))
+    return part.withColumn("_seam", seam).groupBy(*keys).agg(
+        F.sum("n").alias("n_samples"),
+        F.sqrt(F.sum("sq") / F.sum("n")).alias("rms"),
+        (F.sum(F.col("flips") + F.col("_seam")) / F.sum("n")).alias("zero_crossing_rate"),
     )
 
 

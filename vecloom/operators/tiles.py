@@ -28,6 +28,7 @@ from vecloom.session import snapshot
 
 TILE_ROWS = 2048
 PARTNERS = 8
+HOT_SHARE = 1000
 
 
 def _pivots(df: DataFrame, vector: str) -> list[list[float]]:
@@ -210,13 +211,48 @@ def prune_radius(eps: float, metric: str) -> float:
     return math.sqrt(2.0 * eps) if metric == "cosine" else eps
 
 
-def eps_join(df: DataFrame, id_col: str, vector: str, eps: float, metric: str = "euclidean", tile_rows: int = TILE_ROWS) -> DataFrame:
-    """All pairs ``id_a < id_b`` at distance ``<= eps``: ``(id_a, id_b, distance)``."""
-    tiles = build_tiles(df, id_col, vector, metric=metric, tile_rows=tile_rows, pivots=True)
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType(
-        [T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("distance", T.DoubleType())]
+def collapse_copies(df: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFrame | None]:
+    """``(representatives (id, vec, weight), members (id, rep) or None)``.
+
+    Grouping combines on the map side, so a vector that fills a third of the
+    table still reaches the reducer as one row per task. ``None`` means that
+    there are no copies.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"))
+    reps = snapshot(rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").cast("double").alias("weight")), "reps")
+    totals = reps.agg(F.count("*").alias("reps"), F.sum("weight").alias("rows")).head()
+    if not totals["reps"] or totals["reps"] == totals["rows"]:
+        return reps, None
+    # Vectors that fill over a thousandth of the table (so under a thousand of
+    # them) are matched by broadcast; no key of the shuffled rest is hot.
+    least = totals["rows"] / HOT_SHARE
+    named = reps.select("vec", F.col("id").alias("rep"), "weight")
+    hot = F.broadcast(named.filter(F.col("weight") > least).drop("weight"))
+    cold = named.filter(F.col("weight") <= least).drop("weight")
+    members = rows.join(hot, "vec").select("id", "rep").union(
+        rows.join(hot.select("vec"), "vec", "left_anti").join(cold, "vec").select("id", "rep")
     )
+    return reps, members
+
+
+def eps_join(df: DataFrame, id_col: str, vector: str, eps: float, metric: str = "euclidean", collapse: bool = True, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """All pairs at distance ``<= eps``: ``(id_a, id_b, distance, n_a, n_b)``.
+
+    ``id_a < id_b``. Equal vectors stand as one row, named by their least id
+    and counted in ``n_a`` and ``n_b``; a row with ``id_a = id_b`` tells that
+    the vector occurs more than once. A group of m copies thus gives one row
+    and not m * m. ``collapse=False`` lists every pair of ids instead, without
+    the counts.
+    """
+    id_type = df.schema[id_col].dataType
+    fields = [T.StructField("id_a", id_type), T.StructField("id_b", id_type), T.StructField("distance", T.DoubleType())]
+    carry, source = [], df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"))
+    if collapse:
+        source, _ = collapse_copies(df, id_col, vector)
+        carry = ["weight"]
+        fields += [T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType())]
+    schema = T.StructType(fields)
+    tiles = build_tiles(source, "id", "vec", carry=carry, metric=metric, tile_rows=tile_rows, pivots=True)
 
     def kernel(a, partners):
         for b in partners:
@@ -227,9 +263,18 @@ def eps_join(df: DataFrame, id_col: str, vector: str, eps: float, metric: str =
             i, j = np.nonzero(hit)
             left, right = a.ids[i], b.ids[j]
             swap = left > right
-            yield {"id_a": np.where(swap, right, left), "id_b": np.where(swap, left, right), "distance": d[i, j]}
-
-    return run_tiles(tiles, tile_pairs(tiles, prune_radius(eps, metric)), kernel, schema)
+            out = {"id_a": np.where(swap, right, left), "id_b": np.where(swap, left, right), "distance": d[i, j]}
+            if collapse:
+                n, m = a.extra["weight"].to_numpy()[i], b.extra["weight"].to_numpy()[j]
+                out.update(n_a=np.where(swap, m, n).astype(np.int64), n_b=np.where(swap, n, m).astype(np.int64))
+            yield out
+
+    pairs = run_tiles(tiles, tile_pairs(tiles, prune_radius(eps, metric)), kernel, schema, carry=carry)
+    if not collapse:
+        return pairs
+    n = F.col("weight").cast("bigint")
+    copies = source.filter("weight > 1").select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("distance"), n.alias("n_a"), n.alias("n_b"))
+    return pairs.unionByName(copies)
 
 
 def pairwise_distances(df: DataFrame, id_col: str, vector: str, metric: str = "euclidean", tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -22,7 +22,13 @@ MANHATTAN = "list_sum(list_transform(range(1, 65), lambda i: abs(a.v[i] - b.v[i]
 PAIRS = f"{E}, p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_distance(a.v, b.v) AS d FROM e a JOIN e b ON a.vec_id <> b.vec_id)"
 
 
-@query("eps_join", f"WITH {PAIRS} SELECT i AS id_a, j AS id_b, round(d, 6) + 0.0 AS distance FROM p WHERE i < j AND d <= {EPS}")
+@query(
+    "eps_join",
+    f"""WITH {E}, u AS (SELECT min(vec_id) AS i, v, count(*) AS n FROM e GROUP BY v)
+        SELECT a.i AS id_a, b.i AS id_b, round(list_distance(a.v, b.v), 6) + 0.0 AS distance, a.n AS n_a, b.n AS n_b
+        FROM u a JOIN u b ON a.i < b.i WHERE list_distance(a.v, b.v) <= {EPS}
+        UNION ALL SELECT i, i, 0.0, n, n FROM u WHERE n > 1""",
+)
 def eps_join(s, d):
     return T.eps_join(vectors(s, d), "vec_id", "v", EPS).withColumn("distance", r6("distance"))
 
@@ -250,9 +256,20 @@ def _grid_sql() -> str:
     return f"WITH RECURSIVE {PAIRS}, {', '.join(steps)} " + " UNION ALL ".join(parts)
 
 
+@query(
+    "dbscan_grid_sizes",
+    f"WITH RECURSIVE {PAIRS}, " + ", ".join(_density_sql(e, m, f"g{n}") for n, (e, m) in enumerate(GRID)) + " "
+    + " UNION ALL ".join(
+        f"SELECT {e}::DOUBLE AS eps, {m} AS min_samples, cluster_id, count(*) AS size FROM g{n}lab WHERE cluster_id <> -1 GROUP BY 3" for n, (e, m) in enumerate(GRID)
+    ),
+)
+def dbscan_grid_sizes(s, d):
+    return N.dbscan_grid(vectors(s, d), "vec_id", "v", GRID)[1]
+
+
 @query("dbscan_grid", _grid_sql())
 def dbscan_grid(s, d):
-    grid = N.dbscan_grid(vectors(s, d), "vec_id", "v", GRID)
+    grid, _ = N.dbscan_grid(vectors(s, d), "vec_id", "v", GRID)
     return grid.select("eps", "min_samples", "n_clusters", "n_noise", r6("noise_ratio").alias("noise_ratio"), r6(F.nanvl("silhouette", F.lit(None))).alias("silhouette"))
 
 
