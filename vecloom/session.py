@@ -45,6 +45,13 @@ def scratch_path(spark: SparkSession, name: str = "t") -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete folders under the shared scratch folder that no later step reads."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def snapshot(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
