@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecloom.llm import simhash
+import corpus_pipeline
+from vecloom.llm import decontaminate, mixing, rules, simhash, subwords, token_orc
+from vecloom.llm.text import crc_mod
+from vecloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,7 +31,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The tokenizer's file, a parameter of whatever encodes.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: Words of a text, A-Z lowered, as SQL.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"[x FOR x IN regexp_split_to_array({LOWERED}, '[\\x20\\x09-\\x0D]+') IF x <> '']"
+
+
+@query("op2_budget_mixing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lean, plan = mixing.mixture(table(spark, sf_dir, "documents"))
+    return mixing.with_copies(lean, plan).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+@query("op3_token_orc")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, subwords.load(BYTE_BPE))
+    return token_orc.token_index(token_orc.read_tokens(spark, path))
+
+
+@query("op5_rule_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = rules.fit(docs, table(spark, sf_dir, "labels").where(crc_mod("doc_id", 4) != 2))
+    found = rules.scored(docs, model).withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= rules.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query(
+    "op6_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), b AS (SELECT item_id AS id, {WORDS} AS w FROM benchmark),
+    ds AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(1, len(w) - 4) + 1)]) AS s FROM d WHERE len(w) > 0),
+    bs AS (SELECT DISTINCT id, unnest([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, greatest(1, len(w) - 4) + 1)]) AS s FROM b WHERE len(w) > 0),
+    n AS (SELECT id, count(*) AS q FROM bs GROUP BY id)
+    SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS shared, any_value(q) AS item_shingles, count(*) / any_value(q) AS containment
+    FROM ds JOIN bs USING (s) JOIN n ON n.id = bs.id GROUP BY ds.id, bs.id HAVING count(*) >= ceil(0.8 * any_value(q) - 1e-9)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op7_simhash_near_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+ORACLE |= {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

@@ -6,10 +6,14 @@ these, and ``bytes.lower()`` changes A-Z alone. A null text is an empty one.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,3 +39,90 @@ def blocks(items: Iterable[bytes], most: int = 8 << 20) -> Iterator[list[bytes]]
             block, held = [], 0
     if block:
         yield block
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_PIECE = 1 << 20
+
+
+@functools.cache
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """Spread every input bit over all 64 output bits, one to one."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+class Words:
+    """The words of a block of texts, A-Z lowered: their places in one buffer, and a 64-bit hash of each."""
+
+    def __init__(self, texts: list[bytes]):
+        self.buffer = b"\n".join(texts).lower()
+        self.bytes = np.frombuffer(self.buffer, np.uint8)
+        space = np.concatenate(([True], _SPACE[self.bytes], [True]))
+        edge = np.flatnonzero(space[1:] != space[:-1])
+        self.starts, self.ends = edge[0::2], edge[1::2]
+        at = np.cumsum([0] + [len(t) + 1 for t in texts])
+        #: Words of text i: first[i] to first[i + 1].
+        self.first = np.searchsorted(self.starts, at)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def counts(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def owner(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.first) - 1), self.counts())
+
+    def hashes(self) -> np.ndarray:
+        """Equal for equal words; unequal ones meet with a chance of about 2 ** -64."""
+        out = np.empty(len(self), np.uint64)
+        i = 0
+        while i < len(self):
+            start = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, start + _PIECE, "right")))
+            lo, hi, n = self.starts[i:j] - start, self.ends[i:j] - start, int(self.ends[j - 1]) - start
+            size = max(_PIECE, 1 << n.bit_length())
+            total = np.zeros(n + 1, np.uint64)
+            np.cumsum((self.bytes[start:start + n].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size)[:n], out=total[1:])
+            out[i:j] = (total[hi] - total[lo]) * _powers(_INVERSE, size)[lo] + (hi - lo).astype(np.uint64)
+            i = j
+        return _mix(out)
+
+    def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """``(owner, hash)`` of every run of ``size`` words in a text; a shorter text's whole sequence is its only one, no words: none."""
+        words, owner, counts = self.hashes(), self.owner(), self.counts()
+        total = np.zeros(len(words), np.uint64)
+        for j in range(size):
+            term = np.zeros(len(words), np.uint64)
+            term[:max(0, len(words) - j)] = words[j:]
+            if j:
+                inside = np.zeros(len(words), bool)
+                inside[:max(0, len(words) - j)] = owner[j:] == owner[:max(0, len(words) - j)]
+                term[~inside] = np.uint64(j)
+            total = _mix(total + term)
+        rank = np.arange(len(words)) - self.first[owner]
+        whole = rank + size <= counts[owner]
+        keep = whole | ((rank == 0) & (counts[owner] < size))
+        return owner[keep], total[keep]
+
+
+def binary(column: pa.Array) -> list[bytes]:
+    """A text column of an Arrow batch as UTF-8 bytes, null as empty."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
+    return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def extended(schema: StructType, **more: str) -> StructType:
+    """A new schema with further columns, each by its type's name."""
+    return StructType([*schema.fields, *StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in more.items())).fields])
