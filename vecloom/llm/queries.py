@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecloom.llm import decontaminate, mixing, rules, simhash, subwords, token_orc
+from vecloom.llm import chat, cover_tree, decontaminate, lm_score, merkle, mixing, rules, secret_scan, simhash, subwords, token_orc
 from vecloom.llm.text import crc_mod
-from vecloom.session import scratch_path
+from vecloom.session import scratch_path, snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,20 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 WORDS = f"[x FOR x IN regexp_split_to_array({LOWERED}, '[\\x20\\x09-\\x0D]+') IF x <> '']"
 
 
+@query(
+    "op1_cover_tree_top_k",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+               WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", cover_tree.quantized("embedding").alias("v"))
+    return cover_tree.top_k(vectors, vectors.where("vec_id % 100 = 0")).select("query_id", "rank", "vec_id", "score")
+
+
 @query("op2_budget_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     lean, plan = mixing.mixture(table(spark, sf_dir, "documents"))
@@ -51,6 +65,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.token_index(token_orc.read_tokens(spark, path))
 
 
+@query("op4_secret_entropy")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secret_scan.scan(table(spark, sf_dir, "documents"))
+    spans = F.col("secrets")
+    base = F.filter(spans, lambda s: s["kind"] != "entropy")
+    count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
+
+
 @query("op5_rule_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -80,6 +103,76 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+CONVERSATION = "SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn, role, text) AS a FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id"
+RENDERED = "array_to_string([concat('<|im_start|>', t.role, chr(10), t.text, '<|im_end|>', chr(10)) FOR t IN {0}], '')"
+
+
+@query(
+    "op8_preference_format",
+    f"""
+    WITH c AS ({CONVERSATION}),
+    l AS (SELECT *, list_max([i FOR i IN range(1, len(a) + 1) IF a[i].role = 'assistant']) AS last FROM c),
+    p AS (SELECT l.conv_id, l.a, l.last, o.a[o.last].text AS reply FROM l LEFT JOIN l o ON o.conv_id = xor(l.conv_id, 1)),
+    b AS (SELECT conv_id, a, [CASE WHEN i = last THEN {{'turn': a[i].turn, 'role': a[i].role, 'text': coalesce(reply, '')}} ELSE a[i] END FOR i IN range(1, len(a) + 1)] AS r FROM p),
+    k AS (SELECT *, coalesce(list_min([i FOR i IN range(1, len(a) + 1) IF a[i].role <> r[i].role OR a[i].text <> r[i].text]) - 1, len(a)) AS k FROM b),
+    t AS (SELECT conv_id, k, a[1:k] AS p, a[k + 1:] AS c, r[k + 1:] AS r FROM k),
+    m AS (
+        SELECT conv_id, side, string_agg(concat(stop - len(text) - 11, ':', stop), ',' ORDER BY i) FILTER (role = 'assistant') AS mask
+        FROM (SELECT conv_id, side, i, x.role AS role, x.text AS text, sum(24 + len(x.role) + len(x.text)) OVER (PARTITION BY conv_id, side ORDER BY i) AS stop
+              FROM (SELECT conv_id, 'c' AS side, unnest(range(1, len(c) + 1)) AS i, unnest(c) AS x FROM t UNION ALL SELECT conv_id, 'r', unnest(range(1, len(r) + 1)), unnest(r) FROM t))
+        GROUP BY conv_id, side
+    )
+    SELECT conv_id, k::INTEGER AS prompt_turns, {RENDERED.format("p")} AS prompt, {RENDERED.format("c")} AS chosen, {RENDERED.format("r")} AS rejected,
+           coalesce(mc.mask, '') AS chosen_mask, coalesce(mr.mask, '') AS rejected_mask, len(c) > 0 OR len(r) > 0 AS differs
+    FROM t LEFT JOIN (FROM m WHERE side = 'c') mc USING (conv_id) LEFT JOIN (FROM m WHERE side = 'r') mr USING (conv_id)
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_pairs(chat.swapped_replies(chat.conversations(table(spark, sf_dir, "conversations"))))
+
+
+@query("op9_attention_scores")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), subwords.load(BYTE_BPE))
+
+
+#: The second replica of the pages: some payloads have another first byte, some lack their end, some records are lost.
+DAMAGED = "CASE WHEN page_id % 97 = 5 THEN concat('#', substr(html, 2)) WHEN page_id % 193 = 7 THEN substr(html, 1, length(html) - 9) ELSE html END"
+LOST = "page_id % 389 = 11"
+
+
+def _record(payload: str) -> str:
+    cr = "chr(13) || chr(10)"
+    return (
+        f"'WARC/1.0' || {cr} || 'WARC-Type: resource' || {cr} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {cr} || 'WARC-Target-URI: ' || coalesce(url, '') || {cr} "
+        f"|| 'Content-Type: text/html' || {cr} || 'Content-Length: ' || strlen({payload}) || {cr} || {cr} || {payload} || {cr} || {cr}"
+    )
+
+
+@query(
+    "op10_merkle_fixity",
+    f"""
+    WITH r AS (SELECT page_id, {_record("coalesce(html, '')")} AS a, {_record(f"coalesce({DAMAGED}, '')")} AS b FROM pages),
+    h AS (SELECT page_id, sha256(a) AS first_hash, CASE WHEN {LOST} THEN NULL ELSE sha256(b) END AS second_hash, strlen(a) AS n FROM r),
+    o AS (SELECT *, row_number() OVER (ORDER BY page_id, first_hash) - 1 AS i FROM h),
+    p AS (SELECT *, i // 4096 AS archive, i % 4096 AS ordinal FROM o),
+    s AS (SELECT *, sum(n) OVER (PARTITION BY archive ORDER BY ordinal) AS stop FROM p)
+    SELECT archive, ordinal, (stop - n)::BIGINT AS start, stop::BIGINT AS stop, CASE WHEN second_hash IS NULL THEN 'missing' ELSE 'changed' END AS status, first_hash, second_hash, page_id
+    FROM s WHERE second_hash IS NULL OR first_hash <> second_hash
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    own, other = (merkle.warc_record(F.col("page_id"), F.col("url"), c) for c in (F.col("html"), F.expr(DAMAGED)))
+    records = pages.select(
+        F.col("page_id").alias("record_id"), merkle.record_hash(own).alias("tie"), F.octet_length(own).cast("long").alias("length"),
+        F.when(~F.coalesce(F.expr(LOST), F.lit(False)), merkle.record_hash(other)).alias("copy"),
+    )
+    placed = snapshot(merkle.layout(records), "layout")
+    trees = [merkle.merkle_tree(placed.select("archive", "ordinal", "start", "stop", F.col(c).alias("hash"))) for c in ("tie", "copy")]
+    return merkle.audit(*trees).join(placed.select("archive", "ordinal", F.col("record_id").alias("page_id")), ["archive", "ordinal"], "left")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
