@@ -58,6 +58,13 @@ class Index:
             order = np.argsort(values, kind="stable")
             self.partitions.append((min(n for _, n, _ in found), values.max(), values[order], owner[order]))
 
+    @classmethod
+    def of(cls, state: dict) -> Index:
+        """An index from ``vars`` of one, which is what is broadcast: workers need no copy of this module."""
+        index = cls.__new__(cls)
+        vars(index).update(state)
+        return index
+
     def candidates(self, texts: list[bytes]) -> list[tuple[int, int]]:
         """Pairs of a text and an item that share a sketch value."""
         owner, values = Words(texts).shingles(self.size)
@@ -119,10 +126,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = spark.createDataFrame([], LINKS)
     for index in indexes(items, item_id, item_text, size, threshold, block_values):
-        sent = spark.sparkContext.broadcast(index)
+        sent = spark.sparkContext.broadcast(vars(index))
 
         def run(batches, sent=sent):
-            index = sent.value
+            index = Index.of(sent.value)
             for batch in batches:
                 ids, rows = batch.column(0), []
                 for at, item, shared in _matches(index, binary(batch.column(1))):
@@ -141,12 +148,13 @@ SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("shared",
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, block_values: int = BLOCK_VALUES) -> DataFrame:
     """``docs`` without the rows that hold an item; rows and columns that stay are unchanged. Same rules as ``contamination``."""
     for index in indexes(items, item_id, item_text, size, threshold, block_values):
-        sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text)
+        sent, at = docs.sparkSession.sparkContext.broadcast(vars(index)), docs.columns.index(text)
 
         def run(batches, sent=sent, at=at):
+            index = Index.of(sent.value)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                for row, _, _ in _matches(sent.value, binary(batch.column(at))):
+                for row, _, _ in _matches(index, binary(batch.column(at))):
                     clean[row] = False
                 yield batch.filter(pa.array(clean))
 

@@ -47,6 +47,13 @@ _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _PIECE = 1 << 20
 
 
+def _run_of(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2 ... modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 @functools.cache
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
@@ -87,18 +94,23 @@ class Words:
     def hashes(self) -> np.ndarray:
         """Equal for equal words; unequal ones meet with a chance of about 2 ** -64."""
         out = np.empty(len(self), np.uint64)
+        powers, inverse = _run_of(_BASE, self._widest()), _run_of(_INVERSE, self._widest())
         i = 0
         while i < len(self):
             start = int(self.starts[i])
             j = max(i + 1, int(np.searchsorted(self.ends, start + _PIECE, "right")))
             lo, hi, n = self.starts[i:j] - start, self.ends[i:j] - start, int(self.ends[j - 1]) - start
-            size = max(_PIECE, 1 << n.bit_length())
             total = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.bytes[start:start + n].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, size)[:n], out=total[1:])
-            out[i:j] = (total[hi] - total[lo]) * _powers(_INVERSE, size)[lo] + (hi - lo).astype(np.uint64)
+            np.cumsum((self.bytes[start:start + n].astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
+            out[i:j] = (total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)
             i = j
         return _mix(out)
 
+    def _widest(self) -> int:
+        """Bytes that one piece spans at most: the piece's size, the buffer's, or that of a longer word."""
+        longest = int((self.ends - self.starts).max(initial=0))
+        return max(longest, min(_PIECE, len(self.bytes))) + 1
+
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """``(owner, hash)`` of every run of ``size`` words in a text; a shorter text's whole sequence is its only one, no words: none."""
         words, owner, counts = self.hashes(), self.owner(), self.counts()
