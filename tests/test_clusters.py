@@ -41,16 +41,6 @@ def test_elbow_falls(points):
     assert [r["k"] for r in rows] == [1, 2, 3, 4] and all(a["inertia"] >= b["inertia"] for a, b in zip(rows, rows[1:]))
 
 
-def test_partial_sums_agree(spark, points, monkeypatch):
-    from vecloom.operators import partials
-
-    start = {0: K.first_rows(points, "id", "v", 4)}
-    direct = K.lloyd(points, "v", start, 5)[0]
-    monkeypatch.setattr(partials, "DIRECT_BYTES", 0)
-    summed = K.lloyd(points, "v", start, 5)[0]
-    assert np.allclose(direct[0], summed[0]) and direct[1] == pytest.approx(summed[1])
-
-
 def test_em_matches_one_machine(points, blobs):
     start = blobs[[0, 45, 105]]
     means, r, ll, steps = brute.em(blobs, start, 25)
@@ -119,11 +109,6 @@ def test_cuts(spark):
     assert [tuple(r) for r in one] == [(10, 0)]
 
 
-def test_exact_trees_are_bounded(points):
-    with pytest.raises(ValueError, match="hier_large"):
-        G.agglomerative(points, "id", "v", max_points=50)
-
-
 @pytest.mark.parametrize("mode,size", [("sample", 60), ("micro", 20)])
 def test_large_mode_labels_every_row(points, blobs, mode, size):
     got = {r["id"]: r["label"] for r in G.hier_large(points, "id", "v", 3, "ward", mode=mode, size=size).collect()}
@@ -136,7 +121,7 @@ def test_hier_assign_rules(points):
     rows = G.hier_assign(shifted, "id", "v").collect()
     assert len(rows) == 110 and {r["hier_level1_id"] for r in rows} == {0, 1} and {r["hier_level2_id"] for r in rows} == {0, 1, 2}
     assert all(0.1 <= r["confidence"] <= 1.0 and r["hier_distance"] > 0 for r in rows)
-    large = G.hier_assign(shifted, "id", "v", max_points=40, size=20).collect()
+    large = G.hier_assign(shifted, "id", "v", mode="micro", size=20).collect()
     assert len(large) == 110 and {r["hier_level2_id"] for r in large} == {0, 1, 2}
 
 

@@ -64,12 +64,11 @@ def test_string_ids(spark, points, blobs):
     assert len(got) == int((np.triu(d <= 0.5, 1)).sum())
 
 
-@pytest.mark.parametrize("small", [0, 100_000])
-def test_components_chain_star_and_groups(spark, small):
+def test_components_chain_star_and_groups(spark):
     rng = np.random.default_rng(3)
     edges = [(0, i, i + 1) for i in range(60)] + [(0, 100, i) for i in range(101, 130)] + [(1, int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))]
     df = spark.createDataFrame(edges, "g int, u int, v int")
-    got = {(r["g"], r["node"]): r["root"] for r in P.connected_components(df, ["g"], small).collect()}
+    got = {(r["g"], r["node"]): r["root"] for r in P.connected_components(df, ["g"]).collect()}
     for g in (0, 1):
         root = brute.components(200, [(a, b) for k, a, b in edges if k == g])
         nodes = {x for k, a, b in edges if k == g for x in (a, b)}
@@ -77,9 +76,8 @@ def test_components_chain_star_and_groups(spark, small):
     assert len(got) == len({(k, x) for k, a, b in edges for x in (a, b)})
 
 
-@pytest.mark.parametrize("tile_rows,small", [(11, 0), (11, 100_000), (500, 100_000)])
-def test_dbscan(points, blobs, tile_rows, small, monkeypatch):
-    monkeypatch.setattr(P, "SMALL_EDGES", small)
+@pytest.mark.parametrize("tile_rows", [11, 500])
+def test_dbscan(points, blobs, tile_rows):
     configs = [(0.3, 3), (0.3, 25), (0.25, 4), (5.0, 3), (0.001, 2), (0.001, 50)]
     got = D.dbscan_many(points, "id", "v", configs, tile_rows=tile_rows).orderBy("id").collect()
     for cfg, (eps, least) in enumerate(configs):
@@ -171,3 +169,15 @@ def test_k_distance_and_knee(points, blobs):
         got = N.knee(curve).filter(F.col("min_samples") == m).head()
         assert got["knee_position"] == bend.argmax() + 2
     assert N.knee(curve.filter("position < 10")).count() == 0
+
+
+def test_radius_is_inclusive_on_rounded_features(spark):
+    """A grid with many pairs exactly at the radius, where a product of rounded numbers falls on either side."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 5, (120, 3)) * 0.1
+    df = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id int, v array<double>")
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if np.sqrt(((x[i] - x[j]) ** 2).sum()) <= 0.3}
+    got = {(r["id_a"], r["id_b"]) for r in T.eps_join(df, "id", "v", 0.3, collapse=False, tile_rows=16).collect()}
+    assert got == want
+    label, _ = brute.dbscan(x, 0.1, 4)
+    assert [r["cluster_id"] for r in D.dbscan(df, "id", "v", 0.1, 4, tile_rows=16).orderBy("id").collect()] == list(label)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,8 +23,12 @@ def vectors(mat: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(mat, dtype=np.float64).ravel()))
 
 
-def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.ndarray:
-    """Distance of every row of ``a`` to every row of ``b``."""
+def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", radii: Sequence[float] = ()) -> np.ndarray:
+    """Distance of every row of ``a`` to every row of ``b``.
+
+    Pairs next to one of ``radii`` are formed from the differences, so that
+    being within a radius doesn't depend on the rounding of a product.
+    """
     if metric == "manhattan":
         out = np.zeros((len(a), len(b)))
         for d in range(a.shape[1]):
@@ -39,7 +45,11 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean") -> np.nda
     out += nb[None, :]
     np.maximum(out, 0.0, out=out)
     # The product form loses digits for near-equal rows: redo those directly.
-    close_i, close_j = np.nonzero(out <= 1e-7 * (na[:, None] + nb[None, :]))
+    scale = na[:, None] + nb[None, :]
+    redo = out <= 1e-7 * scale
+    for r in radii:
+        redo |= np.abs(out - r * r) <= 1e-9 * (scale + r * r)
+    close_i, close_j = np.nonzero(redo)
     for at in range(0, len(close_i), 65536):
         i, j = close_i[at:at + 65536], close_j[at:at + 65536]
         gap = a[i] - b[j]

@@ -46,7 +46,7 @@ def is_finite(v: Column) -> Column:
 def parse_vector(c, mode: str = "strict", dim: int = schemas.VECTOR_SIZE) -> Column:
     """Text to ``array<double>``, null when the contract of ``mode`` rejects it.
 
-    strict    JSON list of exactly ``dim`` items; NaN and infinities pass
+    strict    JSON list of exactly ``dim`` items; NaN and infinities pass, a null item is NaN
     verified  comma list with or without brackets, or space list; exactly
               ``dim`` finite items
     loose     comma list, blank items ignored, any length
@@ -54,8 +54,8 @@ def parse_vector(c, mode: str = "strict", dim: int = schemas.VECTOR_SIZE) -> Col
     c = _col(c)
     if mode == "strict":
         v = F.from_json(c, "array<double>")
-        return F.when(F.size(v) == dim, v)
-    body = F.regexp_replace(F.trim(c), r"^\[(.*)\]$", "$1")
+        return F.when(F.size(v) == dim, F.transform(v, lambda x: F.coalesce(x, F.lit(float("nan")))))
+    body = F.regexp_replace(F.trim(c), r"(?s)^\[(.*)\]$", "$1")
     by_comma = F.filter(F.split(body, ","), lambda s: F.length(F.trim(s)) > 0)
     if mode == "verified":
         by_space = F.filter(F.split(F.trim(body), r"\s+"), lambda s: F.length(s) > 0)
@@ -117,7 +117,9 @@ def distance(a, b, metric: str = "euclidean") -> Column:
     if metric == "manhattan":
         return _total(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
     if metric == "cosine":
-        return F.lit(1.0) - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+        # A vector without length has distance 1 to every other.
+        norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+        return F.when(norms == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.try_divide(dot(a, b), norms))
     raise ValueError(f"unknown metric {metric!r}")
 
 

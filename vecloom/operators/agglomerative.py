@@ -7,9 +7,10 @@ gives the same tree as merging one pair at a time. Several (linkage, metric)
 trees advance in the same rounds. Single linkage keeps no matrix: its tree is
 the shortest spanning tree, found component by component.
 
-The matrix has n * n entries, spread over the executors, so exact trees are
-limited to ``MAX_POINTS`` rows; the driver holds a few numbers per row of
-that bounded set. Larger tables go through ``hier_large``.
+The matrix has n * n entries, spread over the executors, and the driver holds
+a few numbers per row. That bounds what an exact tree can take; no function
+changes its method by itself. Over more rows ask for ``mode="micro"``, a tree
+over weighted k-means centres of all rows.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from vecloom.operators.kmeans import kmeans, point_to_centroid
 from vecloom.operators.tiles import TILE_ROWS, build_tiles, run_tiles, tile_pairs
 from vecloom.session import snapshot
 
-MAX_POINTS = 50_000
 TAIL = 256          # clusters left when one small task finishes a tree
 ROWS_PER_GROUP = 32
 LINKAGES = ("single", "complete", "average", "ward")
@@ -262,7 +262,7 @@ def _finish(trees: list[_Tree], state: DataFrame) -> list[list[tuple]]:
     return tails
 
 
-def agglomerative_many(df: DataFrame, id_col: str, vector: str, trees: Sequence[tuple[str, str]], weight: str | None = None, tail: int = TAIL, max_points: int = MAX_POINTS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def agglomerative_many(df: DataFrame, id_col: str, vector: str, trees: Sequence[tuple[str, str]], weight: str | None = None, tail: int = TAIL, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Merge tables of several trees: ``(tree, step, a, b, height, size)``.
 
     ``trees`` are (linkage, metric) pairs; ``a`` and ``b`` are the least ids
@@ -277,8 +277,6 @@ def agglomerative_many(df: DataFrame, id_col: str, vector: str, trees: Sequence[
             raise ValueError("ward needs the euclidean metric")
     spark = df.sparkSession
     n = df.count()
-    if n > max_points:
-        raise ValueError(f"{n} rows need a {n} x {n} matrix; exact trees take up to {max_points}, use hier_large")
     id_field = df.schema[id_col]
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"), w.alias("w"))
@@ -456,18 +454,18 @@ def merge_height(merges: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return cut_levels(merges, ids, [k]).select("id", "merge_height")
 
 
-def hier_assign(df: DataFrame, id_col: str, vector: str, linkage: str = "average", metric: str = "cosine", broad: int = 2, fine: int = 3, max_points: int = MAX_POINTS, **options) -> DataFrame:
+def hier_assign(df: DataFrame, id_col: str, vector: str, linkage: str = "average", metric: str = "cosine", broad: int = 2, fine: int = 3, mode: str = "exact", **options) -> DataFrame:
     """Result rows with both levels, intra-cluster distance and confidence.
 
-    Both levels come from one tree: exact up to ``max_points`` rows, over
-    weighted k-means centres beyond.
+    Both levels come from one tree: over all rows, or with another ``mode``
+    as ``large_levels`` builds it.
     """
     ks = sorted({broad, fine})
-    if df.count() <= max_points:
-        merges = agglomerative(df, id_col, vector, linkage, metric, max_points=max_points, **options)
+    if mode == "exact":
+        merges = agglomerative(df, id_col, vector, linkage, metric, **options)
         cuts = cut_levels(merges, df.select(id_col), ks).select("k", "id", "label")
     else:
-        cuts = large_levels(df, id_col, vector, ks, linkage, metric, "micro", **options)
+        cuts = large_levels(df, id_col, vector, ks, linkage, metric, mode, **options)
     cuts = snapshot(cuts, "cuts")
     level1 = cuts.filter(F.col("k") == broad).select("id", F.col("label").alias("hier_level1_id"))
     level2 = cuts.filter(F.col("k") == fine).select("id", F.col("label").alias("hier_level2_id"))
@@ -483,7 +481,7 @@ def hier_assign(df: DataFrame, id_col: str, vector: str, linkage: str = "average
     )
 
 
-def large_levels(df: DataFrame, id_col: str, vector: str, ks: Sequence[int], linkage: str = "average", metric: str = "euclidean", mode: str = "sample", size: int = 1000, seed: int = 42, **options) -> DataFrame:
+def large_levels(df: DataFrame, id_col: str, vector: str, ks: Sequence[int], linkage: str = "average", metric: str = "euclidean", mode: str = "micro", size: int = 1000, seed: int = 42, **options) -> DataFrame:
     """``(k, id, label)`` of several levels for tables too large for an exact tree.
 
     sample  tree over a seeded sample; every row takes the cluster of the
@@ -518,7 +516,7 @@ def large_levels(df: DataFrame, id_col: str, vector: str, ks: Sequence[int], lin
     return out
 
 
-def hier_large(df: DataFrame, id_col: str, vector: str, k: int, linkage: str = "average", metric: str = "euclidean", mode: str = "sample", size: int = 1000, seed: int = 42, **options) -> DataFrame:
+def hier_large(df: DataFrame, id_col: str, vector: str, k: int, linkage: str = "average", metric: str = "euclidean", mode: str = "micro", size: int = 1000, seed: int = 42, **options) -> DataFrame:
     """``(id, label)`` of one level; see ``large_levels``."""
     return large_levels(df, id_col, vector, [k], linkage, metric, mode, size, seed, **options).select("id", "label")
 
@@ -532,16 +530,16 @@ def selection_grid(ks: Sequence[int]) -> list[tuple[int, str, str]]:
     return grid
 
 
-def hier_select(df: DataFrame, id_col: str, vector: str, ks: Sequence[int] | None = None, max_samples: int = 1000, seed: int = 42, **options) -> DataFrame:
+def hier_select(df: DataFrame, id_col: str, vector: str, ks: Sequence[int] | None = None, max_samples: int | None = None, seed: int = 42, **options) -> DataFrame:
     """Scores of all settings, from one tree per linkage and metric.
 
     ``(cfg, k, linkage, metric, silhouette, calinski_harabasz,
-    davies_bouldin, balance, composite, sizes, quality)``. Larger tables are
-    scored on a seeded sample.
+    davies_bouldin, balance, composite, sizes, quality)``. All rows are
+    scored, or a seeded sample of ``max_samples``.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"))
-    work = snapshot(sample_n(rows, "id", max_samples, seed), "sample")
+    work = snapshot(rows if max_samples is None else sample_n(rows, "id", max_samples, seed), "sample")
     n = work.count()
     ks = [min(k, n - 1) for k in (ks or range(3, min(11, n)))]
     grid = [g for g in selection_grid(ks) if g[0] >= 2]
@@ -572,9 +570,9 @@ def hier_select(df: DataFrame, id_col: str, vector: str, ks: Sequence[int] | Non
     )
 
 
-def hier_final(df: DataFrame, id_col: str, vector: str, k: int, linkage: str, metric: str, max_points: int = MAX_POINTS, **options) -> DataFrame:
+def hier_final(df: DataFrame, id_col: str, vector: str, k: int, linkage: str, metric: str, mode: str = "exact", **options) -> DataFrame:
     """``(id, label)`` of the chosen setting on the whole table."""
-    if df.count() > max_points:
-        return hier_large(df, id_col, vector, k, linkage, metric, "micro", **options)
-    merges = agglomerative(df, id_col, vector, linkage, metric, max_points=max_points, **options)
+    if mode != "exact":
+        return hier_large(df, id_col, vector, k, linkage, metric, mode, **options)
+    merges = agglomerative(df, id_col, vector, linkage, metric, **options)
     return cut_tree(merges, df.select(id_col), k)

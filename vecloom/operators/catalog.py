@@ -46,12 +46,12 @@ def run_summary(source: DataFrame, done: DataFrame, key: str, done_key: str | No
 
 
 def enrich_missing(target: DataFrame, metadata: DataFrame, key: str, columns: dict[str, tuple]) -> DataFrame:
-    """Fill gaps from ``metadata`` (one row per key).
+    """Fill gaps from ``metadata``; of several rows of a key the greatest counts.
 
     ``columns`` maps a column to the values that count as blank besides null;
     an empty tuple means that only null is filled.
     """
-    new = metadata.select(F.col(key).alias("_key"), F.struct(*columns).alias("_new"))
+    new = metadata.select(F.col(key).alias("_key"), F.struct(*columns).alias("_new")).groupBy("_key").agg(F.max("_new").alias("_new"))
     joined = target.join(new, F.col(key) == F.col("_key"), "left")
     out = []
     for c in target.columns:
@@ -125,10 +125,10 @@ def cap_per_playlist(items: DataFrame, playlist: str, position: Sequence[str], c
 
 def sample_n(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """``n`` rows without replacement, the same for any partitioning."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)).limit(n)
 
 
-def eps_candidates(spark, eps_by_min_samples: DataFrame, points: int = 5, min_samples=(3, 6, 10), limit: int = 15) -> DataFrame:
+def eps_candidates(spark, eps_by_min_samples: DataFrame, points: int = 5, min_samples=(3, 6, 10), limit: int | None = None) -> DataFrame:
     """Search grid from suggested eps values: ``(eps, min_samples)``.
 
     All suggestions plus ``points`` values from half the least to 1.5 times the
@@ -158,4 +158,6 @@ def eps_candidates(spark, eps_by_min_samples: DataFrame, points: int = 5, min_sa
         ).alias("i", "eps")
     )
     combos = steps.select("i", F.bround("eps", 3).alias("eps"), F.posexplode(F.array(*[F.lit(m) for m in min_samples])).alias("j", "min_samples"))
-    return combos.orderBy("j", "i").limit(limit).select("eps", "min_samples")
+    if limit is not None:
+        combos = combos.orderBy("j", "i").limit(limit)
+    return combos.select("eps", "min_samples")

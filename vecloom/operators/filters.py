@@ -100,7 +100,7 @@ def cascade_delete(child: DataFrame, surviving: DataFrame, fk: str, pk: str) ->
 
 
 def cascade_update(child: DataFrame, renames: DataFrame, fk: str, old: str = "old", new: str = "new") -> DataFrame:
-    """Follow changed parent keys: ``renames`` has one row per changed key."""
-    r = renames.select(F.col(old).alias("_old"), F.col(new).alias("_new"))
+    """Follow changed parent keys. Of several renames of a key the greatest new key counts; children are never multiplied."""
+    r = renames.groupBy(F.col(old).alias("_old")).agg(F.max(new).alias("_new"))
     joined = child.join(r, F.col(fk) == F.col("_old"), "left")
     return joined.select(*[F.coalesce("_new", fk).alias(fk) if c == fk else F.col(c) for c in child.columns])

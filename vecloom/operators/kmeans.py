@@ -86,7 +86,6 @@ def lloyd(df: DataFrame, vector: str, starts: Mapping, max_iters: int = 100, tol
     rows keeps its centre.
     """
     points = df.select(F.col(vector).alias("vec")).persist(StorageLevel.MEMORY_AND_DISK)
-    tasks = points.rdd.getNumPartitions()
     schema = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
     names = list(starts)
     centres = [np.array(starts[n], dtype=float) for n in names]
@@ -115,8 +114,7 @@ def lloyd(df: DataFrame, vector: str, starts: Mapping, max_iters: int = 100, tol
                     names=["start", "c", "sums"],
                 )
 
-        size = 8 * sum(c.size + 2 * len(c) for _, c in held)
-        return sum_partials(points.mapInArrow(partial, schema), ["start", "c"], "sums", tasks, size)
+        return sum_partials(points.mapInArrow(partial, schema), ["start", "c"], "sums")
 
     try:
         active, iters = list(range(len(names))), [0] * len(names)

@@ -132,7 +132,8 @@ def calinski_harabasz(df: DataFrame, vector: str, label: str, group: Sequence[st
     """``(between / (k - 1)) / (within / (n - k))``.
 
     One pass over two grouping sets gives the inertia of every cluster and of
-    the whole; what lies between the clusters is the difference.
+    the whole; what lies between the clusters is the difference. Null with one
+    cluster, or when every row is a cluster of its own.
     """
     g = list(group)
     v = array_to_vector(F.col(vector))
@@ -150,7 +151,7 @@ def calinski_harabasz(df: DataFrame, vector: str, label: str, group: Sequence[st
         F.sum(F.when(each, F.col("spread"))).alias("within"),
         F.max(F.when(~each, F.col("spread"))).alias("total"),
     )
-    value = F.try_divide((F.col("total") - F.col("within")) / (F.col("k") - 1), F.col("within") / (F.col("rows") - F.col("k")))
+    value = F.try_divide(F.try_divide(F.col("total") - F.col("within"), F.col("k") - 1), F.try_divide("within", F.col("rows") - F.col("k")))
     return out.select(*g, F.col("k").alias("n_clusters"), F.when(F.col("k") > 1, value).alias("calinski_harabasz"))
 
 

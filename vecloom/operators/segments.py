@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from vecloom import schemas
 from vecloom.operators.aggregates import mean_vector
+from vecloom.session import snapshot
 
 # Scalar segment column -> record field.
 STAT_SOURCES = {
@@ -29,7 +30,6 @@ STAT_SOURCES = {
     "onset_count": "onset_count",
 }
 
-
 def assign_segments(samples: DataFrame, signal: str, t: str, length: float = 10.0, duration: str | None = None) -> DataFrame:
     """Number samples by fixed-length segment and drop the tail.
 
@@ -125,6 +125,8 @@ def segment_featurize(samples: DataFrame, signal: str, segment: str, value: str,
     # so there is no call overhead per group beyond the user's function.
     rows = samples.select(signal, segment, value, order)
     done = rows.repartition(signal, segment).sortWithinPartitions(signal, segment, order).mapInArrow(run, out)
+    # Both results read one stored step: the function runs once for a segment.
+    done = snapshot(done, "segments")
     return done.filter(F.col("error").isNull()).drop("error"), done.filter(F.col("error").isNotNull()).select(signal, segment, F.col("error").alias("reason"))
 
 

@@ -256,7 +256,7 @@ def eps_join(df: DataFrame, id_col: str, vector: str, eps: float, metric: str =
 
     def kernel(a, partners):
         for b in partners:
-            d = arrow.distances(a.x, b.x, metric)
+            d = arrow.distances(a.x, b.x, metric, [eps])
             hit = d <= eps
             if a.key == b.key:
                 hit = np.triu(hit, 1)

@@ -195,5 +195,5 @@ query("first_n", "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 10")(
     lambda s, d: catalog.first_n(table(s, d, "pages").select("page_id", "url"), "page_id", 10)
 )
 
-query("sample_n")(lambda s, d: catalog.sample_n(vectors(s, d).select("vec_id", "label"), "vec_id", 100, 42))
+query("sample_n", "SELECT vec_id, label FROM embeddings ORDER BY md5(concat(vec_id, ':42')), vec_id LIMIT 100")(lambda s, d: catalog.sample_n(vectors(s, d).select("vec_id", "label"), "vec_id", 100, 42))
 
