@@ -26,11 +26,11 @@ CLASSES: Mapping[str, tuple[str, int, float]] = {
     "base16": (r"(?<![A-Za-z0-9+/_=-])[0-9A-Fa-f]{24,}(?![A-Za-z0-9+/_=-])", 24, 3.2),
     "base64": (r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])", 24, 3.9),
 }
-#: A candidate that matches one of these is no secret: words only, numbers only, a UUID, digests named by length of a date or path,
-#: file names and paths of words, and the usual placeholders.
+#: A candidate that matches one of these is no secret: words only, numbers only, a UUID, the usual
+#: placeholders, and paths of words.
 ALLOW = (
     r"^[A-Za-z+/_=-]+$", r"^[0-9+/_=-]+$", r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", r"(?i)example|placeholder|changeme|xxxx|0000|1234567|abcdef",
-    r"^(/?[A-Za-z_-]+[0-9]{0,4})+/?$",
+    r"^/?(?:[a-z_-]+[0-9]{0,4}/)+[a-z_-]*[0-9]{0,4}$",
 )
 
 Spans = "array<struct<start:bigint,end:bigint,text:string>>"
