@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vecloom.llm import mixing
 
@@ -83,7 +84,8 @@ def test_hot_length_is_split(spark):
     """20,000 documents of one length in one source: the last key is found without ordering them together."""
     docs = spark.range(20000).selectExpr("id AS doc_id", "'p q r' AS text", "if(id < 15000, 'a', 'b') AS source")
     lean, plan = mixing.mixture(docs)
-    got = {r.source: (r.t, r.target) for r in mixing.with_copies(lean, plan).groupBy("source").agg({"target": "max", "copies": "sum"}).toDF("source", "target", "t").select("source", "t", "target").collect()}
+    found = mixing.with_copies(lean, plan).groupBy("source").agg(F.sum("copies").alias("t"), F.max("target").alias("target"))
+    got = {r.source: (r.t, r.target) for r in found.collect()}
     for source, (copies, target) in got.items():
         assert abs(copies * 3 - target) < 3
 
