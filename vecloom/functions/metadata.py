@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from vecloom.functions.vectors import _col
 
 # Fixed values.
-PLAYLIST_URL = r"https://api\.spotify\.com/v1/playlists/([a-zA-Z0-9]+)/tracks"
 UNKNOWN_ID = "unknown"
 UNKNOWN_NAME = "Unknown Artist"
 
@@ -23,7 +22,7 @@ ARTIST_RECORD = (
 )
 
 
-def playlist_id(url, pattern: str = PLAYLIST_URL) -> Column:
+def playlist_id(url, pattern: str) -> Column:
     """First capture of ``pattern`` in the URL, null when it does not match."""
     url = _col(url)
     return F.when(F.regexp_like(url, F.lit(pattern)), F.regexp_extract(url, pattern, 1))

@@ -44,8 +44,12 @@ def tidy_clusters(clusters: DataFrame) -> DataFrame:
     )
 
 
-def steps(df: DataFrame, id_col: str, vector: str, options: dict | None = None) -> dict[str, Callable[[], DataFrame]]:
-    """The four algorithms with their usual settings; ``options`` override them."""
+def steps(df: DataFrame, id_col: str, vector: str, options: dict | None = None, notes: dict[str, str] | None = None) -> dict[str, Callable[[], DataFrame]]:
+    """The four algorithms with their usual settings; ``options`` override them.
+
+    ``notes`` gets a line for each algorithm that ran with other settings than
+    asked for.
+    """
     opt = {name: dict((options or {}).get(name, {})) for name in schemas.ALGORITHMS}
 
     def run_kmeans():
@@ -62,8 +66,10 @@ def steps(df: DataFrame, id_col: str, vector: str, options: dict | None = None)
     def run_dbscan():
         try:
             return snapshot(density.dbscan_assign(df, id_col, vector, **opt["dbscan"]), "dbscan")
-        except Exception:
+        except Exception as exc:
             eps, least = dbscan.ALTERNATIVE
+            if notes is not None:
+                notes["dbscan"] = f"ran again with eps={eps}, min_samples={least} after {type(exc).__name__}: {exc}"
             return density.dbscan_assign(df, id_col, vector, eps, least, fallback=True)
 
     return {"kmeans": run_kmeans, "gmm": run_gmm, "hierarchical": run_hierarchical, "dbscan": run_dbscan}
@@ -73,11 +79,12 @@ def cluster_all(df: DataFrame, id_col: str, vector: str, target: DataFrame | Non
     """New state of the cluster table and the failures by algorithm.
 
     Every algorithm is stored to the scratch folder as it finishes, so that a
-    failing one does not take the others down.
+    failing one does not take the others down. A second try with other
+    settings is among the failures too, although its rows are in the table.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    plan = steps(df, id_col, vector, options)
     parts, failures = [], {}
+    plan = steps(df, id_col, vector, options, failures)
     for name in algorithms:
         try:
             parts.append(snapshot(result_rows(plan[name](), id_type), name))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecloom.operators.catalog import global_rank
+
 
 def scan(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
@@ -21,6 +23,16 @@ def scan_page(df: DataFrame, order_by: str | list[str], page: int, size: int) ->
     return df.orderBy(order_by).offset(page * size).limit(size)
 
 
+def scan_pages(df: DataFrame, order_by: str | list[str], size: int) -> DataFrame:
+    """All rows with the ``page`` they are on, from 0, in pages of ``size`` rows in key order.
+
+    Rows are numbered inside range slices, so no page costs more than another
+    and no task sees all rows. The keys must tell rows apart.
+    """
+    keys = [order_by] if isinstance(order_by, str) else list(order_by)
+    return global_rank(df, keys, name="_rank").withColumn("page", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
+
+
 def row_count(df: DataFrame, name: str = "n") -> DataFrame:
     return df.agg(F.count("*").alias(name))
 

@@ -352,7 +352,7 @@ def merge_height(s, d):
 
 
 query("hier_assign")(lambda s, d: G.hier_assign(vectors(s, d), "vec_id", "v"))
-query("hier_large")(lambda s, d: G.hier_large(vectors(s, d), "vec_id", "v", 3, "ward", size=200))
+query("hier_large")(lambda s, d: G.hier_large(vectors(s, d), "vec_id", "v", 3, "ward", mode="micro", size=200))
 query("hier_large_micro")(lambda s, d: G.hier_large(vectors(s, d), "vec_id", "v", 3, "ward", mode="micro", size=100))
 
 
@@ -368,7 +368,9 @@ query("hier_select")(lambda s, d: G.hier_select(vectors(s, d), "vec_id", "v"))
 
 @query("cluster_all")
 def cluster_all(s, d):
-    state, _ = cluster.cluster_all(vectors(s, d), "vec_id", "v", options={"dbscan": {"eps": EPS, "min_samples": MIN_SAMPLES}})
+    state, failures = cluster.cluster_all(vectors(s, d), "vec_id", "v", options={"dbscan": {"eps": EPS, "min_samples": MIN_SAMPLES}})
+    if failures:
+        raise RuntimeError(f"not all algorithms ended: {failures}")
     return cluster.tidy_clusters(state)
 
 
@@ -487,7 +489,7 @@ query("silhouette_samples_cosine", f"WITH {LABELLED}, {_silhouette_sql('x', dist
     f"""WITH {MEANS}, {CH_SQL}, {DB_SQL}, x AS (SELECT vec_id AS id, v, label FROM e), {_silhouette_sql('x')}
         SELECT 'all' AS scope, NULL::INTEGER AS cluster_id, (SELECT sum(n)::BIGINT FROM per) AS n, (SELECT round(avg(silhouette), 6) + 0.0 FROM ss) AS silhouette,
           (SELECT round(sum(inertia), 6) FROM per) AS inertia, (SELECT round(calinski_harabasz, 6) FROM ch) AS calinski_harabasz,
-          (SELECT round(davies_bouldin, 6) FROM db) AS davies_bouldin, 'Poor' AS quality
+          (SELECT round(davies_bouldin, 6) FROM db) AS davies_bouldin, (SELECT CASE WHEN avg(silhouette) > 0.7 THEN 'Excellent' WHEN avg(silhouette) > 0.5 THEN 'Good' WHEN avg(silhouette) > 0.25 THEN 'Fair' ELSE 'Poor' END FROM ss) AS quality
         UNION ALL
         SELECT 'cluster', label, n, round(s2, 6) + 0.0, round(inertia, 6) + 0.0, NULL, NULL, NULL FROM per JOIN (SELECT label, avg(silhouette) AS s2 FROM ss GROUP BY 1) USING (label)""",
 )
@@ -522,3 +524,41 @@ def evaluate_and_store(s, d):
     state = C.union_results(cluster.empty_clusters(s, "bigint"), rows)
     done = evaluate.evaluate_and_store(songs, state, "kmeans")
     return done.select("song_id", "kmeans_cluster_id", "kmeans_cluster_size", r6("kmeans_silhouette_score").alias("kmeans_silhouette_score"))
+
+
+def _stored(s, d, algorithm: str, column: str, label):
+    songs = vectors(s, d).select(F.col("vec_id").alias("song_id"), F.col("v").alias("feature_vector"))
+    rows = vectors(s, d).select(F.col("vec_id").alias("song_id"), F.lit(algorithm).alias("algorithm"), label.alias(column))
+    return evaluate.evaluate_and_store(songs, C.union_results(cluster.empty_clusters(s, "bigint"), rows), algorithm)
+
+
+@query(
+    "evaluate_and_store_gmm",
+    f"""WITH {LABELLED}, {_silhouette_sql('x')}, sz AS (SELECT label, count(*) AS n FROM x GROUP BY 1)
+        SELECT id AS song_id, label AS gmm_cluster_id, n AS gmm_cluster_size, (SELECT round(avg(silhouette), 6) + 0.0 FROM ss) AS gmm_silhouette_score FROM x JOIN sz USING (label)""",
+)
+def evaluate_and_store_gmm(s, d):
+    return _stored(s, d, "gmm", "gmm_cluster_id", F.col("label")).select("song_id", "gmm_cluster_id", "gmm_cluster_size", r6("gmm_silhouette_score").alias("gmm_silhouette_score"))
+
+
+@query(
+    "evaluate_and_store_hierarchical",
+    f"""WITH {LABELLED}, {_silhouette_sql('x')}, sz AS (SELECT label, count(*) AS n FROM x GROUP BY 1)
+        SELECT id AS song_id, label AS hier_level2_id, (SELECT round(avg(silhouette), 6) + 0.0 FROM ss) AS hier_silhouette_score,
+          (SELECT round(1 / (1 + stddev_pop(n) / avg(n)), 6) + 0.0 FROM sz) AS hier_balance_score FROM x""",
+)
+def evaluate_and_store_hierarchical(s, d):
+    done = _stored(s, d, "hierarchical", "hier_level2_id", F.col("label"))
+    return done.select("song_id", "hier_level2_id", r6("hier_silhouette_score").alias("hier_silhouette_score"), r6("hier_balance_score").alias("hier_balance_score"))
+
+
+@query(
+    "evaluate_and_store_dbscan",
+    f"""WITH {E}, a AS (SELECT vec_id AS id, v, CASE WHEN label = 0 THEN -1 ELSE label END AS label FROM e), x AS (SELECT * FROM a WHERE label <> -1), {_silhouette_sql('x')},
+        sz AS (SELECT label, count(*) AS n FROM a GROUP BY 1)
+        SELECT id AS song_id, label AS dbscan_cluster_id, n AS dbscan_cluster_size, (SELECT round(avg(silhouette), 6) + 0.0 FROM ss) AS dbscan_silhouette_score,
+          (SELECT count(*) FROM sz WHERE label <> -1) AS dbscan_n_clusters, (SELECT sum(n)::BIGINT FROM sz WHERE label = -1) AS dbscan_n_noise FROM a JOIN sz USING (label)""",
+)
+def evaluate_and_store_dbscan(s, d):
+    done = _stored(s, d, "dbscan", "dbscan_cluster_id", F.when(F.col("label") == 0, -1).otherwise(F.col("label")))
+    return done.select("song_id", "dbscan_cluster_id", "dbscan_cluster_size", r6("dbscan_silhouette_score").alias("dbscan_silhouette_score"), "dbscan_n_clusters", "dbscan_n_noise")

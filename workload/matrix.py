@@ -23,8 +23,8 @@ def artist_mean_vector(s, d):
 
 @query(
     "data_quality",
-    f"""WITH {L} SELECT 64 AS total_features, count(DISTINCT vec_id) AS total_rows, round(avg(x), 6) + 0.0 AS matrix_mean,
-        round(stddev_pop(x), 6) + 0.0 AS matrix_std, round(min(x), 6) + 0.0 AS matrix_min, round(max(x), 6) + 0.0 AS matrix_max, 0::BIGINT AS total_missing FROM l""",
+    f"""WITH {L} SELECT (SELECT max(len(v)) FROM e)::INTEGER AS total_features, count(DISTINCT vec_id) AS total_rows, round(avg(x), 6) + 0.0 AS matrix_mean,
+        round(stddev_pop(x), 6) + 0.0 AS matrix_std, round(min(x), 6) + 0.0 AS matrix_min, round(max(x), 6) + 0.0 AS matrix_max, count(*) FILTER (x IS NULL OR isnan(x)) AS total_missing FROM l""",
 )
 def data_quality(s, d):
     q = A.data_quality(vectors(s, d), "v")
@@ -36,7 +36,7 @@ def low_variance(s, d):
     return A.low_variance(vectors(s, d), "v", 0.0155).select("pos", F.round("var_pop", 8).alias("var_pop"))
 
 
-@query("constant_features", f"WITH {L} SELECT pos, 0.0::DOUBLE AS std_pop FROM l WHERE pos % 2 = 1 GROUP BY pos")
+@query("constant_features", f"WITH {L} SELECT pos, round(stddev_pop(x), 6) + 0.0 AS std_pop FROM (SELECT pos, CASE WHEN pos % 2 = 1 THEN 0.25 ELSE x END AS x FROM l) GROUP BY pos HAVING stddev_pop(x) < 1e-10")
 def constant_features(s, d):
     # Every second position made constant.
     flat = F.transform("v", lambda x, i: F.when(i % 2 == 1, F.lit(0.25)).otherwise(x))

@@ -16,6 +16,10 @@ query("scan_paged", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDE
     lambda s, d: tables.scan_page(table(s, d, "orders"), "o_orderkey", 2, 1000).select("o_orderkey", "o_custkey", "o_totalprice")
 )
 
+query("scan_pages", "SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS page FROM orders")(
+    lambda s, d: tables.scan_pages(tables.scan_cols(s, f"{d}/orders.parquet", "o_orderkey", "o_totalprice"), "o_orderkey", 1000)
+)
+
 query("row_count", "SELECT count(*) AS n FROM lineitem")(lambda s, d: tables.row_count(table(s, d, "lineitem")))
 
 query("scan_cols", "SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority FROM orders")(
