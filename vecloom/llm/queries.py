@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: The tokenizer's file, a parameter of whatever encodes.
-BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+BYTE_BPE, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Words of a text, A-Z lowered, as SQL.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"[x FOR x IN regexp_split_to_array({LOWERED}, '[\\x20\\x09-\\x0D]+') IF x <> '']"
@@ -133,7 +133,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_attention_scores")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.lm_scores(table(spark, sf_dir, "documents"), subwords.load(BYTE_BPE))
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), lm_score.load(RANKS, public_tokenizers.PATTERN))
 
 
 #: The second replica of the pages: some payloads have another first byte, some lack their end, some records are lost.

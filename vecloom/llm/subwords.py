@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -12,6 +14,12 @@ UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 SIMPLE = re.compile(r" ?[^ \t-\r]+")
 #: White space beyond ASCII, of which not every library has the same list: such texts are encoded in one piece.
 ODD = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
+#: A mark that stands behind a word, and the end of the Latin letters.
+MARKS, LATIN = ".,;:!?", "\u0250"
+#: Byte-level alphabet: a printable byte of Latin-1 is itself, the others are numbered from 256 on.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+SPACE = BYTES[0x20]
 
 
 def load(path: str) -> str:
@@ -26,53 +34,101 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
 
 
+class Pieces:
+    """Ids of text pieces, each encoded once while it is held.
+
+    ``encode`` turns a list of pieces into lists of ids; ``value``, if given, gives a number for each. Beyond ``most`` pieces those
+    met again are kept, at most half of the bound, and the others go: most pieces of a corpus occur once.
+    """
+
+    def __init__(self, encode: Callable[[list], list[np.ndarray]], most: int, value: Callable[[list], list[float]] | None = None):
+        self.encode, self.most, self.value = encode, most, value
+        self.at: dict = {}
+        self.keys: list = []
+        self.flat = np.zeros(0, np.int32)
+        self.starts, self.lengths, self.hits, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def _shrink(self) -> None:
+        kept = np.flatnonzero(self.hits > 1)
+        kept = np.sort(kept[np.argsort(-self.hits[kept], kind="stable")[:self.most // 2]])
+        self.flat, self.lengths, self.hits = gather(self.flat, self.starts[kept], self.lengths[kept]), self.lengths[kept], self.hits[kept] // 2
+        self.starts, self.values = np.cumsum(self.lengths) - self.lengths, self.values[kept] if self.value else self.values
+        self.keys = [self.keys[i] for i in kept.tolist()]
+        self.at = dict(zip(self.keys, range(len(self.keys))))
+
+    def places(self, pieces: list) -> np.ndarray:
+        """Where each piece is held; valid until the next call."""
+        if len(self.keys) > self.most:
+            self._shrink()
+        new = list(set(pieces).difference(self.at))
+        if new:
+            found = self.encode(new)
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.at.update(zip(new, range(len(self.keys), len(self.keys) + len(new))))
+            self.keys += new
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+            self.lengths, self.hits = np.concatenate((self.lengths, lengths)), np.concatenate((self.hits, np.zeros(len(new), np.int64)))
+            more = np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum()))
+            self.flat = np.concatenate((self.flat, more))
+            if self.value:
+                self.values = np.concatenate((self.values, np.array(self.value(new), np.float64)))
+        where = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+        self.hits += np.bincount(where, minlength=len(self.hits))
+        return where
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        return gather(self.flat, self.starts[places], self.lengths[places])
+
+
+def apart(joined: np.ndarray, line: int, n: int) -> list[np.ndarray] | None:
+    """Ids of ``n`` pieces, each after a line break; None if a line break went into another id."""
+    cut = np.flatnonzero(joined == line)
+    if len(cut) != n:
+        return None
+    return [joined[a + 1:b] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(joined)])]
+
+
 class Encoder:
-    """Encodes texts; a unit met before is looked up. ``most`` bounds the units kept."""
+    """Encodes whole texts; a unit that is held is looked up. ``most`` bounds the units held."""
 
-    def __init__(self, spec: str, most: int = 400_000):
-        self.tokenizer, self.most = Tokenizer.from_str(spec), most
+    def __init__(self, spec: str, most: int = 300_000):
+        self.tokenizer = Tokenizer.from_str(spec)
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self._clear()
-
-    def _clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.flat, self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.marks = {m: self.whole(m).tolist() for m in MARKS}
+        self.pieces = Pieces(self._encode, most)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _apart(self, units: list[str]) -> list[np.ndarray]:
-        """Ids of units that hold no line break: joined by line breaks, encoded at once and cut there."""
-        out = []
-        for at in range(0, len(units), 2000):
-            part = units[at:at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n" + "\n".join(part)], add_special_tokens=False)[0].ids, np.int32)
-            cut = np.flatnonzero(ids == self.line[0])
-            if len(self.line) != 1 or len(cut) != len(part):
-                out += [self.whole(u) for u in part]
+    def _encode(self, units: list[str]) -> list[np.ndarray]:
+        """Words of Latin letters, with a space before or a mark behind or neither, are one or two pieces for the tokenizer's rule, so
+        they go straight to its model. Other units without a line break are joined by line breaks, encoded at once and cut there."""
+        out: list = [None] * len(units)
+        tokenize, joined, single = self.tokenizer.model.tokenize, [], []
+        for i, unit in enumerate(units):
+            word = unit[1:] if unit[0] == " " else unit
+            tail = word[-1:] if word[-1:] in MARKS else ""
+            word = word[:-1] if tail else word
+            if word.isalpha() and max(word) < LATIN:
+                piece = word if unit[0] != " " else SPACE + word
+                found = [t.id for t in tokenize(piece if word.isascii() else piece[:-len(word)] + word.encode().decode("latin-1").translate(BYTES))]
+                out[i] = found + self.marks[tail] if tail else found
             else:
-                out += [ids[a + 1:b] for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(ids)])]
+                (joined if SIMPLE.fullmatch(unit) else single).append(i)
+        for at in range(0, len(joined), 2000):
+            part = joined[at:at + 2000]
+            text = "\n" + "\n".join(units[i] for i in part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            found = apart(ids, self.line[0], len(part)) if len(self.line) == 1 else None
+            if found is None:
+                single += part
+            else:
+                for i, x in zip(part, found):
+                    out[i] = x
+        for i in single:
+            out[i] = self.whole(units[i])
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        simple = [u for u in units if SIMPLE.fullmatch(u)]
-        other = [u for u in units if not SIMPLE.fullmatch(u)]
-        found = self._apart(simple) + [self.whole(u) for u in other]
-        lengths = np.array([len(x) for x in found], np.int64)
-        self.at.update(zip(simple + other, range(len(self.at), len(self.at) + len(found))))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
-        self.lengths = np.concatenate((self.lengths, lengths))
-        self.flat = np.concatenate((self.flat, *found))
-
-    def units(self, units: list[str]) -> np.ndarray:
-        """The place of each unit in ``starts`` and ``lengths``."""
-        if len(self.at) > self.most:
-            self._clear()
-        new = [u for u in dict.fromkeys(units) if u not in self.at]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.at.__getitem__, units), np.int64, len(units))
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = [None] * len(texts)
         flat, cuts, plain = [], [0], []
@@ -83,9 +139,9 @@ class Encoder:
                 flat += UNIT.findall(text)
                 cuts.append(len(flat))
                 plain.append(i)
-        where = self.units(flat)
-        ids = gather(self.flat, self.starts[where], self.lengths[where])
-        ends = np.concatenate(([0], np.cumsum(self.lengths[where])))[cuts]
+        where = self.pieces.places(flat)
+        ids = self.pieces.ids(where)
+        ends = np.concatenate(([0], np.cumsum(self.pieces.lengths[where])))[cuts]
         for i, a, b in zip(plain, ends, ends[1:]):
             out[i] = ids[a:b]
         return out

@@ -6,8 +6,7 @@ these, and ``bytes.lower()`` changes A-Z alone. A null text is an empty one.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,13 +53,6 @@ def _run_of(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@functools.cache
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 output bits, one to one."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -129,6 +121,14 @@ class Words:
         return owner[keep], total[keep]
 
 
+def kept(box: dict, name: str, make: Callable[[], object]):
+    """``box[name]``, made where it is missing. With a broadcast dictionary that is once for a worker process and not for a task:
+    what is made stays beside the value while the worker lives, so it must be bounded and the same for every task."""
+    if name not in box:
+        box[name] = make()
+    return box[name]
+
+
 def binary(column: pa.Array) -> list[bytes]:
     """A text column of an Arrow batch as UTF-8 bytes, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
