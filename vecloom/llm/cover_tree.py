@@ -235,7 +235,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", vector
     Both frames have an id and an array of integers. A row never meets rows of its own id, nor vectors of another length. Ties go to
     the smaller id. Null vectors and null ids take no part. Rows that repeat an id and its vector count once; an id with several
     vectors is several candidates and several queries (``query_key`` tells them apart). Fewer than ``k`` candidates: all. Empty
-    tables give no rows. Other columns are not read.
+    tables give no rows. A score that doesn't fit into a long fails the job, it doesn't wrap. Other columns are not read.
     """
 
     def clean(df: DataFrame) -> DataFrame:
