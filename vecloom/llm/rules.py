@@ -54,7 +54,7 @@ def text_stats(texts: list[bytes]) -> np.ndarray:
         out[:, 5] /= per_word
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
     lo = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
-    hi = lo + [len(t) for t in texts]
+    hi = lo + np.array([len(t) for t in texts], np.int64)
     found = {}
     for name, members in {**{k: v[0] for k, v in CLASSES.items()}, "lower": bytes(range(97, 123))}.items():
         table = np.zeros(256, np.int64)
