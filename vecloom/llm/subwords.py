@@ -91,7 +91,7 @@ def apart(joined: np.ndarray, line: int, n: int) -> list[np.ndarray] | None:
 class Encoder:
     """Encodes whole texts; a unit that is held is looked up. ``most`` bounds the units held."""
 
-    def __init__(self, spec: str, most: int = 300_000):
+    def __init__(self, spec: str, most: int = 120_000):
         self.tokenizer = Tokenizer.from_str(spec)
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.marks = {m: self.whole(m).tolist() for m in MARKS}

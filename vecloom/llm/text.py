@@ -40,6 +40,13 @@ def blocks(items: Iterable[bytes], most: int = 8 << 20) -> Iterator[list[bytes]]
         yield block
 
 
+def items(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a binary column of an Arrow batch; few of them are Python objects at a time."""
+    for at in range(0, len(column), 256):
+        for x in column.slice(at, 256).to_pylist():
+            yield x or b""
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.subwords import Encoder
-from vecloom.llm.text import blocks
+from vecloom.llm.text import blocks, items, kept
 
 END_ID = 2
 #: Texts of about this many bytes go into one file.
@@ -41,13 +41,14 @@ def write_tokens(docs: DataFrame, path: str, spec: str, doc_id: str = "doc_id",
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // file_bytes), min(spark.sparkContext.defaultParallelism, size // (1 << 20)))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    sent = spark.sparkContext.broadcast(spec)
+    sent = spark.sparkContext.broadcast({"spec": spec})
 
     def run(batches):
-        encoder, part, row = Encoder(sent.value), TaskContext.get().partitionId(), 0
+        encoder = kept(sent.value, "encoder", lambda: Encoder(sent.value["spec"]))
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, at = batch.column("doc_id"), 0
-            for block in blocks(batch.column("text").cast(pa.large_binary()).to_pylist()):
+            for block in blocks(items(batch.column("text").cast(pa.large_binary())), 1 << 20):
                 found = encoder.encode([t.decode() for t in block])
                 lengths = np.array([len(x) + 1 for x in found], np.int32)
                 ends = np.cumsum(lengths)
