@@ -39,7 +39,12 @@ def test_stages_equal_brute_force(spark):
     for r in mixed:
         taken[r[3]] = taken.get(r[3], 0) + len(r[1].split())
     for source, target in deal(sizes).items():
-        assert abs(taken.get(source, 0) - target) <= max(1, min(len(r[1].split()) for r in clean if r[3] == source))
+        repeats, reached = int(target // sizes[source]), 1
+        for r in clean:
+            reached |= reached << len(r[1].split()) if r[3] == source else 0
+        budget = round(target - repeats * sizes[source])
+        best = max(i for i in range(budget + 1) if reached >> i & 1)
+        assert taken.get(source, 0) == repeats * sizes[source] + best
     assert set(mixed) <= set(clean) and max(mixed.count(r) for r in set(mixed)) <= 3
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
