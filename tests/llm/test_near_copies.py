@@ -1,0 +1,41 @@
+import random
+
+from vecloom.llm import near_copies
+from vecloom.llm.decontaminate import shingle_set
+
+
+def brute(rows):
+    sets = [shingle_set((t or "").encode()) for _, t in rows]
+    found = list(range(len(rows)))
+
+    def root(i):
+        while found[i] != i:
+            i = found[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if x == y or 5 * len(x & y) >= 4 * len(x | y):
+                a, b = root(i), root(j)
+                found[max(a, b)] = min(a, b)
+    return [rows[i][0] for i in range(len(rows)) if root(i) == i]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng, texts = random.Random(9), [None, "", "a b", "A  b", "a b c"]
+    for n in (30, 50, 200, 500):
+        for _ in range(6):
+            words = [f"w{rng.randrange(5000)}" for _ in range(n)]
+            texts.append(" ".join(words))
+            for changed in (1, 1, 2, 4, 9):
+                own = list(words)
+                for _ in range(changed):
+                    own[rng.randrange(n)] = f"x{rng.randrange(5000)}"
+                texts.append(" ".join(own + "this line is in very many of the texts".split() * rng.randrange(2)))
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    rows = list(enumerate(texts + [r.text for r in table]))
+    want = brute(rows)
+    got = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == want and len(want) < len(rows) - 60
+    assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
