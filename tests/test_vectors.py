@@ -145,9 +145,9 @@ def test_paging_covers_every_row_once(spark):
 
 
 def test_playlist_url(spark):
-    url = "https://api.spotify.com/v1/playlists/37i9dQ/tracks?x=1"
-    assert one(spark, url, "string", M.playlist_id) == "37i9dQ"
-    assert one(spark, "https://elsewhere", "string", M.playlist_id) is None
+    pick = lambda url: M.playlist_id(url, "/lists/([A-Za-z0-9]+)/")
+    assert one(spark, "https://api.example.org/v1/lists/37i9dQ/items?x=1", "string", pick) == "37i9dQ"
+    assert one(spark, "https://elsewhere.example.org", "string", pick) is None
 
 
 def test_criteria_match_published_rows(spark):
