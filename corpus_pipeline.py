@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from vecloom.llm import decontaminate, mixing, near_copies, rules, subwords, token_orc
+from vecloom.llm import decontaminate, mixing, rules, simhash, subwords, token_orc
 from vecloom.llm.text import crc_mod
 from vecloom.session import scratch_path, snapshot
 
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the least id."""
-    return near_copies.keep_one(docs)
+    """One document of each group of linked fingerprints stays: the one of the least id."""
+    return simhash.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
