@@ -9,13 +9,15 @@ from collections.abc import Callable
 import numpy as np
 from tokenizers import Tokenizer
 
-#: White space before a word, and the word. Such a tokenizer cuts before the white space, so units are encoded apart.
-UNIT = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 SIMPLE = re.compile(r" ?[^ \t-\r]+")
 #: White space beyond ASCII, of which not every library has the same list: such texts are encoded in one piece.
 ODD = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
 #: A mark that stands behind a word, and the end of the Latin letters.
 MARKS, LATIN = ".,;:!?", "\u0250"
+#: A word of Latin letters between white space, a mark behind it, or white space with whatever follows. Such a tokenizer cuts before
+#: the white space and before the mark, so units are encoded apart.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+UNIT = re.compile(rf" ?[{LETTERS}]+(?=[{MARKS}]?(?:[ \t-\r]|\Z))|[{MARKS}](?=[ \t-\r]|\Z)|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: Byte-level alphabet: a printable byte of Latin-1 is itself, the others are numbered from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
@@ -91,28 +93,27 @@ def apart(joined: np.ndarray, line: int, n: int) -> list[np.ndarray] | None:
 class Encoder:
     """Encodes whole texts; a unit that is held is looked up. ``most`` bounds the units held."""
 
-    def __init__(self, spec: str, most: int = 120_000):
+    def __init__(self, spec: str, most: int = 160_000, plain_specials: bool = False):
+        """``plain_specials``: strings of special tokens in a text are ordinary text."""
         self.tokenizer = Tokenizer.from_str(spec)
+        self.tokenizer.encode_special_tokens = plain_specials
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.marks = {m: self.whole(m).tolist() for m in MARKS}
         self.pieces = Pieces(self._encode, most)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
     def _encode(self, units: list[str]) -> list[np.ndarray]:
-        """Words of Latin letters, with a space before or a mark behind or neither, are one or two pieces for the tokenizer's rule, so
-        they go straight to its model. Other units without a line break are joined by line breaks, encoded at once and cut there."""
+        """Words of Latin letters, with a space before or not, are one piece for the tokenizer's rule, so they go straight to its model.
+        Other units without a line break are joined by line breaks, encoded at once and cut there."""
         out: list = [None] * len(units)
         tokenize, joined, single = self.tokenizer.model.tokenize, [], []
         for i, unit in enumerate(units):
-            word = unit[1:] if unit[0] == " " else unit
-            tail = word[-1:] if word[-1:] in MARKS else ""
-            word = word[:-1] if tail else word
-            if word.isalpha() and max(word) < LATIN:
-                piece = word if unit[0] != " " else SPACE + word
-                found = [t.id for t in tokenize(piece if word.isascii() else piece[:-len(word)] + word.encode().decode("latin-1").translate(BYTES))]
-                out[i] = found + self.marks[tail] if tail else found
+            spaced = unit[0] == " "
+            word = unit[1:] if spaced else unit
+            if word.isalpha() and (word.isascii() or max(word) < LATIN):
+                piece = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
+                out[i] = [t.id for t in tokenize(SPACE + piece if spaced else piece)]
             else:
                 (joined if SIMPLE.fullmatch(unit) else single).append(i)
         for at in range(0, len(joined), 2000):
