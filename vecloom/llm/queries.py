@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecloom.llm import chat, cover_tree, decontaminate, lm_score, merkle, mixing, rules, secret_scan, simhash, subwords, token_orc
+from vecloom.llm import align, chat, cover_tree, decontaminate, lm_score, merkle, mixing, rules, secret_scan, simhash, subwords, token_orc
 from vecloom.llm.text import crc_mod
 from vecloom.session import scratch_path, snapshot
 
@@ -33,6 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: The tokenizer's file, a parameter of whatever encodes.
 BYTE_BPE, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: Words of a text, A-Z lowered, as SQL.
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"[x FOR x IN regexp_split_to_array({LOWERED}, '[\\x20\\x09-\\x0D]+') IF x <> '']"
@@ -173,6 +174,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(*trees).join(placed.select("archive", "ordinal", F.col("record_id").alias("page_id")), ["archive", "ordinal"], "left")
 
 
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.pair_scores(table(spark, sf_dir, "documents"), align.specs(BYTE_BPE, PIECES)).withColumnRenamed("groups", "groups_sha256")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
