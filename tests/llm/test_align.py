@@ -90,12 +90,12 @@ def test_repeated_rows_and_empty_table(spark):
 
 
 def test_words_apart_equal_whole_texts_and_few_are_held():
-    texts = [" " + t for t in TEXTS if t] * 2
+    texts = [(" " + t).encode() for t in TEXTS if t] * 2
     b = align.PieceTokens(open(B, "rb").read(), most=5)
     assert b.pieces is not None
-    assert [x.tolist() for i in range(0, len(texts), 3) for x in b.encode(texts[i:i + 3])] == b.model.encode([t[1:] for t in texts])
+    assert [x.tolist() for i in range(0, len(texts), 3) for x in b.encode(texts[i:i + 3])] == b.model.encode([t[1:].decode() for t in texts])
     few, many = (align.Windows(align.ByteTokens(open(A, encoding="utf-8").read()), align.PieceTokens(open(B, "rb").read()), most=m) for m in (2, 10**6))
     for i in range(0, len(texts), 4):
-        block = [t[1:].encode() for t in texts[i:i + 4]]
+        block = [t[1:] for t in texts[i:i + 4]]
         x, y = few.block(block), many.block(block)
         assert x[2] == y[2] and all((p == q).all() for p, q in zip(x[:2] + x[3:5], y[:2] + y[3:5]))

@@ -13,8 +13,7 @@ frequent.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vecloom.llm.subwords import BYTES, Encoder, Pieces, gather
+from vecloom.llm.subwords import BYTES, Encoder, Pieces, distinct, gather
 from vecloom.llm.text import as_bytes, blocks, items, kept
 from vecloom.session import discard, scratch_path
 
 #: Linked pairs that are broadcast; windows that are held at once; bytes of text handled at once.
-FREQUENT, HELD, BLOCK = 1 << 18, 150_000, 1 << 20
+FREQUENT, HELD, BLOCK = 1 << 18, 150_000, 2 << 20
 #: What marks a space in a sentencepiece model.
 MARK = "▁"
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, times array<long>"
@@ -41,7 +40,23 @@ def specs(byte_level: str, pieces: str) -> dict:
         return {"a": a.read(), "b": b.read()}
 
 
-class ByteTokens:
+class Tokens:
+    """``tokens``: the bytes of each id."""
+
+    tokens: list[bytes]
+
+    def bytes_of(self, ids: list[np.ndarray]) -> list[bytes]:
+        """What the ids of each text stand for."""
+        if not hasattr(self, "flat"):
+            self.flat, self.sizes = np.frombuffer(b"".join(self.tokens), np.uint8), np.array([len(t) for t in self.tokens], np.int64)
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        joined = np.concatenate(ids).astype(np.int64)
+        raw = gather(self.flat, self.starts[joined], self.sizes[joined]).tobytes()
+        ends = np.concatenate(([0], np.cumsum(self.sizes[joined])))[np.cumsum([0] + [len(x) for x in ids])].tolist()
+        return [raw[x:y] for x, y in zip(ends, ends[1:])]
+
+
+class ByteTokens(Tokens):
     """Ids of texts by a byte-level tokenizer, special strings being ordinary text, and each id's bytes."""
 
     def __init__(self, spec: str, most: int = 120_000):
@@ -51,19 +66,17 @@ class ByteTokens:
         read = lambda t: bytes(back.get(c, ord(c) & 255) for c in t)
         self.tokens = [read(name(i) or "") for i in range(self.encoder.tokenizer.get_vocab_size())]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.encoder.encode(texts)
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        return self.encoder.encode_bytes(texts)
 
 
-class PieceTokens:
+class PieceTokens(Tokens):
     """Ids of texts by a sentencepiece model, and each id's bytes: the mark is a space, a byte piece its byte.
 
     Where the model keeps spaces and has the mark only in front of its pieces, no piece reaches over the start of a word, so words are
     encoded apart, each once while it is held. Another model encodes whole texts.
     """
 
-    UNIT = re.compile(r" +[^ ]+(?: +\Z)?| +\Z")
-
     def __init__(self, model: bytes, most: int = 120_000):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
@@ -71,28 +84,36 @@ class PieceTokens:
         kept_spaces = "".join(self.model.encode("  x  x ", out_type=str)) == MARK * 3 + "x" + MARK * 2 + "x" + MARK
         self.pieces = Pieces(self._encode, most) if kept_spaces and not any(MARK in n.lstrip(MARK) for n in names) else None
 
-    def _encode(self, units: list[str]) -> list[list[int]]:
+    def _encode(self, units: list[bytes]) -> list[list[int]]:
         """Every unit starts with a space, which the model puts there by itself."""
-        return self.model.encode([u[1:] for u in units], num_threads=1)
+        return self.model.encode([u[1:].decode(errors="replace") for u in units], num_threads=1)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """``texts`` with a space in front, as ``ByteTokens`` gets them."""
         if self.pieces is None:
-            return [np.array(x, np.int32) for x in self.model.encode([t[1:] for t in texts], num_threads=1)]
-        flat, cuts = [], [0]
-        for t in texts:
-            flat += self.UNIT.findall(t)
-            cuts.append(len(flat))
-        where = self.pieces.places(flat)
-        ends = np.concatenate(([0], np.cumsum(self.pieces.lengths[where])))[cuts]
+            return [np.array(x, np.int32) for x in self.model.encode([t[1:].decode(errors="replace") for t in texts], num_threads=1)]
+        buffer, ends = b"".join(texts), np.cumsum([0] + [len(t) for t in texts])
+        flat = np.frombuffer(buffer, np.uint8)
+        space, cut = flat == 0x20, np.zeros(len(flat) + 1, bool)
+        cut[1:-1] = space[1:] & ~space[:-1]
+        for i, t in enumerate(texts):
+            # Spaces that end a text belong to the word before them.
+            if t.endswith(b" "):
+                cut[ends[i] + len(t.rstrip(b" "))] = False
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        starts, stops = at[:-1], at[1:]
+        first, which = distinct(flat, starts, stops)
+        kinds = [buffer[s:e] for s, e in zip(starts[first].tolist(), stops[first].tolist())]
+        where = self.pieces.places(kinds, np.bincount(which, minlength=len(kinds)))[which]
+        at = np.concatenate(([0], np.cumsum(self.pieces.lengths[where])))[np.searchsorted(starts, ends)]
         ids = self.pieces.ids(where)
-        return [ids[x:y] for x, y in zip(ends.tolist(), ends[1:].tolist())]
+        return [ids[x:y] for x, y in zip(at.tolist(), at[1:].tolist())]
 
 
-def cuts(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """``(i, j)`` after each group: so many tokens of both have ended where ends meet."""
-    place = {e: j for j, e in enumerate(ends_b, 1)}
-    return [(i, place[e]) for i, e in enumerate(ends_a, 1) if e in place]
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers ``starts[i]`` to ``starts[i] + sizes[i]`` of each i, one range after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
 class Windows:
@@ -105,6 +126,8 @@ class Windows:
         self.a, self.b, self.most = a, b, most
         self.len_a, self.len_b = (np.array([len(t) for t in x.tokens], np.int64) for x in (a, b))
         self.space = np.array([t[:1] == b" " for t in a.tokens])
+        # An id as it stands inside a side of a group, at the first side's end, at the second's.
+        self.written = [f"{i}{mark}" for i in range(max(len(a.tokens), len(b.tokens))) for mark in ",|;"]
         self._clear()
 
     def _clear(self) -> None:
@@ -114,62 +137,65 @@ class Windows:
         self.flat, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.starts, self.lengths, self.groups, self.links = (np.zeros(0, np.int64) for _ in range(4))
 
-    def align(self, ids_a: list[int], ids_b: list[int]) -> tuple[str, dict[int, int], int, int]:
-        """Groups as ``a1,a2|b1;a3|b2,b3``; pairs ``a << 32 | b`` with their links; how many groups and links."""
-        ends_a, ends_b = np.cumsum(self.len_a[ids_a]).tolist(), np.cumsum(self.len_b[ids_b]).tolist()
-        text, pairs, n, links, i, j = [], {}, 0, 0, 0, 0
-        for x, y in cuts(ends_a, ends_b):
-            own_a, own_b = ids_a[i:x], ids_b[j:y]
-            text.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            links += len(own_a) * len(own_b)
-            if len(own_a) * len(own_b) > 64:
-                # Many tokens: each kind once, with how often it occurs.
-                (own_a, times_a), (own_b, times_b) = (np.unique(z, return_counts=True) for z in (own_a, own_b))
-                for p, s in zip(own_a.tolist(), times_a.tolist()):
-                    for q, t in zip(own_b.tolist(), times_b.tolist()):
-                        pairs[p << 32 | q] = pairs.get(p << 32 | q, 0) + s * t
-            else:
-                for p in own_a:
-                    for q in own_b:
-                        pairs[p << 32 | q] = pairs.get(p << 32 | q, 0) + 1
-            n, i, j = n + 1, x, y
-        return ";".join(text), pairs, n, links
-
-    def places(self, keys: list[bytes], ids: Callable[[int], tuple[list[int], list[int]]]) -> np.ndarray:
-        """Where each window is held, valid until the next call; ``ids`` gives the ids of one that isn't held yet."""
+    def _add(self, flat_a: np.ndarray, flat_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> None:
+        """Align windows that stand behind one another: ids of both, and how many each window has."""
+        n, ends_a, ends_b = len(size_a), np.cumsum(self.len_a[flat_a]), np.cumsum(self.len_b[flat_b])
+        place = np.searchsorted(ends_b, ends_a)
+        meet = np.flatnonzero(ends_b[np.minimum(place, len(ends_b) - 1)] == ends_a)
+        stop_a, stop_b = meet + 1, place[meet] + 1
+        in_a, in_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+        window = np.searchsorted(np.cumsum(size_a), stop_a)
+        # Text: of each group the first side, then the second; the last token of a side has another mark behind it.
+        mark_a, mark_b = np.zeros(len(flat_a), np.int64), np.zeros(len(flat_b), np.int64)
+        mark_a[stop_a - 1], mark_b[stop_b - 1] = 1, 2
+        begin = np.cumsum(in_a + in_b) - in_a - in_b
+        codes = np.empty(len(flat_a) + len(flat_b), np.int64)
+        codes[spread(begin, in_a)], codes[spread(begin + in_a, in_b)] = flat_a * 3 + mark_a, flat_b * 3 + mark_b
+        parts, stops = [self.written[c] for c in codes.tolist()], np.cumsum(size_a + size_b).tolist()
+        self.texts += ["".join(parts[i:j])[:-1] for i, j in zip([0, *stops], stops)]
+        # Pairs: each token of one side beside all of the other. Of large groups each kind of token once, with how often it occurs.
+        large = np.flatnonzero(in_a * in_b > 64)
+        few = in_b.copy()
+        few[large] = 0
+        per = np.repeat(few, in_a)
+        name = np.repeat(flat_a, per) << 32 | flat_b[spread(np.repeat(stop_b - in_b, in_a), per)]
+        owner, times = np.repeat(np.repeat(window, in_a), per), np.ones(len(name), np.int64)
+        for g in large.tolist():
+            (a, times_a), (b, times_b) = (np.unique(x[e - m:e], return_counts=True) for x, e, m in ((flat_a, stop_a[g], in_a[g]), (flat_b, stop_b[g], in_b[g])))
+            more = (a[:, None] << 32 | b[None, :]).ravel()
+            name, times, owner = np.concatenate((name, more)), np.concatenate((times, np.outer(times_a, times_b).ravel())), np.concatenate((owner, np.full(len(more), window[g])))
+        if len(large):
+            order = np.argsort(owner, kind="stable")
+            name, times, owner = name[order], times[order], owner[order]
+        kinds, which = np.unique(name, return_inverse=True)
+        number = np.fromiter((self.pair.setdefault(k, len(self.pair)) for k in kinds.tolist()), np.int64, len(kinds))
+        count = lambda at, weight=None: np.bincount(at, weight, n).astype(np.int64)
+        lengths = count(owner)
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lengths) - lengths))
+        self.flat, self.times, self.lengths = np.concatenate((self.flat, number[which])), np.concatenate((self.times, times)), np.concatenate((self.lengths, lengths))
+        self.groups, self.links = np.concatenate((self.groups, count(window))), np.concatenate((self.links, count(window, in_a * in_b)))
+
+    def places(self, keys: list[bytes], flat_a: np.ndarray, flat_b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> np.ndarray:
+        """Where each window is held; valid until the next call."""
         if len(self.texts) > self.most:
             self._clear()
-        flat, times, lengths, groups, links = [], [], [], [], []
-        at, pair = self.at, self.pair
-        for i, key in enumerate(keys):
-            if key in at:
-                continue
-            at[key] = len(self.texts)
-            text, pairs, n, m = self.align(*ids(i))
-            self.texts.append(text)
-            flat += [pair.setdefault(p, len(pair)) for p in pairs]
-            times += pairs.values()
-            lengths.append(len(pairs))
-            groups.append(n)
-            links.append(m)
-        if lengths:
-            more = np.array(lengths, np.int64)
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(more) - more))
-            grow = lambda old, new: np.concatenate((old, np.array(new, np.int64)))
-            self.flat, self.times, self.lengths = grow(self.flat, flat), grow(self.times, times), grow(self.lengths, lengths)
-            self.groups, self.links = grow(self.groups, groups), grow(self.links, links)
+        at, new = self.at, [i for i, key in enumerate(keys) if key not in self.at]
+        at.update(zip([keys[i] for i in new], range(len(self.texts), len(self.texts) + len(new))))
+        if new:
+            a, b = size_a[new], size_b[new]
+            self._add(flat_a[spread(stop_a[new] - a, a)], flat_b[spread(stop_b[new] - b, b)], a, b)
         return np.fromiter(map(at.__getitem__, keys), np.int64, len(keys))
 
     def block(self, texts: list[bytes]):
         """Of each text: ids of both, groups as text, groups, links; and the linked pairs: ``(text, a, b, times)`` in the texts' order."""
         n = len(texts)
         whole = [b" " + t if t else b"" for t in texts]
-        read = [t.decode(errors="replace") for t in whole]
-        ids_a, ids_b = self.a.encode(read), self.b.encode(read)
-        for i, t in enumerate(whole):
-            joined = (b"".join(map(x.tokens.__getitem__, ids.tolist())) for x, ids in ((self.a, ids_a[i]), (self.b, ids_b[i])))
-            if not t or any(x != t for x in joined):
+        ids_a, ids_b = self.a.encode(whole), self.b.encode(whole)
+        for x, ids in ((self.a, ids_a), (self.b, ids_b)):
+            lost = [i for i, back in enumerate(x.bytes_of(ids)) if back != whole[i]]
+            for i in lost:
                 ids_a[i] = ids_b[i] = np.zeros(0, np.int32)
+                whole[i] = b""
         n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
         flat_a, flat_b = np.concatenate(ids_a).astype(np.int64), np.concatenate(ids_b).astype(np.int64)
         # Texts stand behind one another, so a text's end is an end of both: windows never reach over it.
@@ -184,13 +210,11 @@ class Windows:
         begin = np.cumsum(size) - size
         packed = np.empty(int(size.sum()), "<u4")
         packed[begin] = size_a
-        spread = lambda start, size: np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         packed[spread(begin + 1, size_a)] = flat_a
         packed[spread(begin + 1 + size_a, size_b)] = flat_b
-        raw = packed.tobytes()
-        keys = [raw[x:y] for x, y in zip((begin * 4).tolist(), ((begin + size) * 4).tolist())]
-        own = lambda i: (flat_a[stop_a[i] - size_a[i]:stop_a[i]].tolist(), flat_b[stop_b[i] - size_b[i]:stop_b[i]].tolist())
-        where = self.places(keys, own)
+        kinds, which = distinct(packed, begin, begin + size)
+        keys = [packed[x:y].tobytes() for x, y in zip(begin[kinds].tolist(), (begin + size)[kinds].tolist())]
+        where = self.places(keys, flat_a, flat_b, *(x[kinds] for x in (stop_a, stop_b, size_a, size_b)))[which]
         owner = np.repeat(np.arange(n), n_a)[anchors] if len(anchors) else np.zeros(0, np.int64)
         first = np.searchsorted(owner, np.arange(n + 1)).tolist()
         held = where.tolist()
@@ -198,8 +222,9 @@ class Windows:
         total = lambda x: np.bincount(owner, x[where], n).astype(np.int64)
         kinds = max(1, len(self.pair))
         pair = np.repeat(owner, self.lengths[where]) * kinds + gather(self.flat, self.starts[where], self.lengths[where])
-        order = np.argsort(pair, kind="stable")
-        pair, times = pair[order], gather(self.times, self.starts[where], self.lengths[where])[order]
+        times = gather(self.times, self.starts[where], self.lengths[where])
+        order = np.argsort(pair)
+        pair, times = pair[order], times[order]
         head = np.flatnonzero(np.diff(pair, prepend=-1))
         times = np.add.reduceat(times, head) if len(head) else times
         names = np.fromiter(self.pair, np.int64, len(self.pair)) if self.pair else np.zeros(1, np.int64)

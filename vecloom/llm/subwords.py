@@ -9,19 +9,23 @@ from collections.abc import Callable
 import numpy as np
 from tokenizers import Tokenizer
 
-SIMPLE = re.compile(r" ?[^ \t-\r]+")
+from vecloom.llm.text import slice_hashes
+
+SIMPLE = re.compile(rb" ?[^ \t-\r]+")
 #: White space beyond ASCII, of which not every library has the same list: such texts are encoded in one piece.
-ODD = re.compile("[" + "".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])) + "]")
+ODD = re.compile("|".join(map(chr, [*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])).encode())
 #: A mark that stands behind a word, and the end of the Latin letters.
 MARKS, LATIN = ".,;:!?", "\u0250"
-#: A word of Latin letters between white space, a mark behind it, or white space with whatever follows. Such a tokenizer cuts before
-#: the white space and before the mark, so units are encoded apart.
-LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
-UNIT = re.compile(rf" ?[{LETTERS}]+(?=[{MARKS}]?(?:[ \t-\r]|\Z))|[{MARKS}](?=[ \t-\r]|\Z)|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: Kinds of bytes: white space, marks, ASCII letters and digits, and bytes with which odd white space begins.
+_SPACE, _MARK, _ALNUM, _ODD = (np.zeros(256, bool) for _ in range(4))
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK[list(MARKS.encode())] = True
+_ALNUM[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+_ODD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Byte-level alphabet: a printable byte of Latin-1 is itself, the others are numbered from 256 on.
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-SPACE = BYTES[0x20]
+LETTER = [BYTES.get(b, chr(b)) for b in range(256)]
 
 
 def load(path: str) -> str:
@@ -36,6 +40,21 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))]
 
 
+def distinct(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A first slice of each kind among the slices of ``flat``, and which kind each slice is. Found by hash, checked by content."""
+    _, first, inverse = np.unique(slice_hashes(flat, starts, ends), return_index=True, return_inverse=True)
+    size, rep = ends - starts, first[inverse]
+    same = bool((size == size[rep]).all())
+    for a in range(0, len(starts) if same else 0, 1 << 17):
+        cut = slice(a, a + (1 << 17))
+        same = same and bool((gather(flat, starts[cut], size[cut]) == gather(flat, starts[rep[cut]], size[cut])).all())
+    if same:
+        return first, inverse
+    held: dict[bytes, int] = {}
+    inverse = np.array([held.setdefault(flat[s:e].tobytes(), len(held)) for s, e in zip(starts.tolist(), ends.tolist())], np.int64)
+    return np.unique(inverse, return_index=True)[1], inverse
+
+
 class Pieces:
     """Ids of text pieces, each encoded once while it is held.
 
@@ -58,8 +77,8 @@ class Pieces:
         self.keys = [self.keys[i] for i in kept.tolist()]
         self.at = dict(zip(self.keys, range(len(self.keys))))
 
-    def places(self, pieces: list) -> np.ndarray:
-        """Where each piece is held; valid until the next call."""
+    def places(self, pieces: list, times: np.ndarray | None = None) -> np.ndarray:
+        """Where each piece is held, valid until the next call; ``times``: how often each is met."""
         if len(self.keys) > self.most:
             self._shrink()
         new = list(set(pieces).difference(self.at))
@@ -75,7 +94,7 @@ class Pieces:
             if self.value:
                 self.values = np.concatenate((self.values, np.array(self.value(new), np.float64)))
         where = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
-        self.hits += np.bincount(where, minlength=len(self.hits))
+        self.hits += np.bincount(where, times, minlength=len(self.hits)).astype(np.int64)
         return where
 
     def ids(self, places: np.ndarray) -> np.ndarray:
@@ -103,22 +122,22 @@ class Encoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
 
-    def _encode(self, units: list[str]) -> list[np.ndarray]:
+    def _encode(self, units: list[bytes]) -> list[np.ndarray]:
         """Words of Latin letters, with a space before or not, are one piece for the tokenizer's rule, so they go straight to its model.
         Other units without a line break are joined by line breaks, encoded at once and cut there."""
         out: list = [None] * len(units)
-        tokenize, joined, single = self.tokenizer.model.tokenize, [], []
+        tokenize, letter, joined, single = self.tokenizer.model.tokenize, LETTER.__getitem__, [], []
         for i, unit in enumerate(units):
-            spaced = unit[0] == " "
-            word = unit[1:] if spaced else unit
-            if word.isalpha() and (word.isascii() or max(word) < LATIN):
-                piece = word if word.isascii() else word.encode().decode("latin-1").translate(BYTES)
-                out[i] = [t.id for t in tokenize(SPACE + piece if spaced else piece)]
-            else:
-                (joined if SIMPLE.fullmatch(unit) else single).append(i)
+            word = unit[1:] if unit[0] == 0x20 else unit
+            if not word.isalpha():
+                text = word.decode(errors="replace")
+                if not text.isalpha() or max(text) >= LATIN:
+                    (joined if SIMPLE.fullmatch(unit) else single).append(i)
+                    continue
+            out[i] = [t.id for t in tokenize("".join(map(letter, unit)))]
         for at in range(0, len(joined), 2000):
             part = joined[at:at + 2000]
-            text = "\n" + "\n".join(units[i] for i in part)
+            text = "\n" + "\n".join(units[i].decode(errors="replace") for i in part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
             found = apart(ids, self.line[0], len(part)) if len(self.line) == 1 else None
             if found is None:
@@ -127,22 +146,55 @@ class Encoder:
                 for i, x in zip(part, found):
                     out[i] = x
         for i in single:
-            out[i] = self.whole(units[i])
+            out[i] = self.whole(units[i].decode(errors="replace"))
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_bytes([t.encode() for t in texts])
+
+    def encode_bytes(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. A unit is white space with the word behind it, a mark that ends a word, or a line break: such a tokenizer cuts
+        before the white space, between a letter and a mark, and behind a line break alone, so units are encoded apart."""
         out: list = [None] * len(texts)
-        flat, cuts, plain = [], [0], []
-        for i, text in enumerate(texts):
-            if ODD.search(text):
-                out[i] = self.whole(text)
-            else:
-                flat += UNIT.findall(text)
-                cuts.append(len(flat))
-                plain.append(i)
-        where = self.pieces.places(flat)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        seen = np.concatenate(([0], np.cumsum(_ODD[flat], dtype=np.int64)))
+        odd = np.flatnonzero(seen[begin + sizes] > seen[begin]).tolist()
+        odd = [i for i in odd if ODD.search(texts[i])]
+        for i in odd:
+            out[i] = self.whole(texts[i].decode(errors="replace"))
+        plain = [i for i in range(len(texts)) if out[i] is None]
+        where, first = self._units(texts if not odd else [texts[i] for i in plain])
         ids = self.pieces.ids(where)
-        ends = np.concatenate(([0], np.cumsum(self.pieces.lengths[where])))[cuts]
-        for i, a, b in zip(plain, ends, ends[1:]):
+        ends = np.concatenate(([0], np.cumsum(self.pieces.lengths[where])))[first]
+        for i, a, b in zip(plain, ends.tolist(), ends[1:].tolist()):
             out[i] = ids[a:b]
         return out
+
+    def _units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the units of all texts are held, and the number of each text's first one."""
+        buffer, ends = b"".join(texts), np.cumsum([0] + [len(t) for t in texts])
+        flat = np.frombuffer(buffer, np.uint8)
+        n = len(flat)
+        space, border = _SPACE[flat], np.zeros(n + 1, bool)
+        border[ends] = True
+        cut = border.copy()
+        cut[1:n] |= space[1:] & ~space[:-1]
+        # A mark between a letter and white space, or the text's end. Letters with two bytes: U+00C0 to U+00FF but the two signs.
+        after = border[1:].copy()
+        after[:-1] |= space[1:]
+        mark = np.flatnonzero(_MARK[flat] & after)
+        mark = mark[~border[mark]]
+        last, lead = flat[mark - 1], flat[np.maximum(mark, 2) - 2]
+        letter = _ALNUM[last] | (lead == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (mark >= 2)
+        cut[mark[letter]] = True
+        # A line break or tab alone before a word is cut off too.
+        alone = np.flatnonzero(cut[:-2] & space[:-1] & (flat[:-1] != 0x20) & ~space[1:]) + 1 if n else mark
+        cut[alone] = True
+        at = np.flatnonzero(cut)
+        starts, stops = at[:-1], at[1:]
+        first, which = distinct(flat, starts, stops)
+        kinds = [buffer[s:e] for s, e in zip(starts[first].tolist(), stops[first].tolist())]
+        held = self.pieces.places(kinds, np.bincount(which, minlength=len(kinds)))
+        return held[which], np.searchsorted(starts, ends)

@@ -67,6 +67,24 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def slice_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each slice of bytes, the slices in order and apart: equal for equal ones; unequal ones meet with a chance of about 2 ** -64."""
+    out = np.empty(len(starts), np.uint64)
+    # Bytes that one piece spans at most: the piece's size, the buffer's, or that of a longer slice.
+    widest = max(int((ends - starts).max(initial=0)), min(_PIECE, len(flat))) + 1
+    powers, inverse = _run_of(_BASE, widest), _run_of(_INVERSE, widest)
+    i = 0
+    while i < len(starts):
+        start = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, start + _PIECE, "right")))
+        lo, hi, n = starts[i:j] - start, ends[i:j] - start, int(ends[j - 1]) - start
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((flat[start:start + n].astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
+        out[i:j] = (total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)
+        i = j
+    return _mix(out)
+
+
 class Words:
     """The words of a block of texts, A-Z lowered: their places in one buffer, and a 64-bit hash of each."""
 
@@ -91,24 +109,7 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
     def hashes(self) -> np.ndarray:
-        """Equal for equal words; unequal ones meet with a chance of about 2 ** -64."""
-        out = np.empty(len(self), np.uint64)
-        powers, inverse = _run_of(_BASE, self._widest()), _run_of(_INVERSE, self._widest())
-        i = 0
-        while i < len(self):
-            start = int(self.starts[i])
-            j = max(i + 1, int(np.searchsorted(self.ends, start + _PIECE, "right")))
-            lo, hi, n = self.starts[i:j] - start, self.ends[i:j] - start, int(self.ends[j - 1]) - start
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((self.bytes[start:start + n].astype(np.uint64) + np.uint64(1)) * powers[:n], out=total[1:])
-            out[i:j] = (total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)
-            i = j
-        return _mix(out)
-
-    def _widest(self) -> int:
-        """Bytes that one piece spans at most: the piece's size, the buffer's, or that of a longer word."""
-        longest = int((self.ends - self.starts).max(initial=0))
-        return max(longest, min(_PIECE, len(self.bytes))) + 1
+        return slice_hashes(self.bytes, self.starts, self.ends)
 
     def shingles(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """``(owner, hash)`` of every run of ``size`` words in a text; a shorter text's whole sequence is its only one, no words: none."""

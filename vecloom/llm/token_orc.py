@@ -48,8 +48,8 @@ def write_tokens(docs: DataFrame, path: str, spec: str, doc_id: str = "doc_id",
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, at = batch.column("doc_id"), 0
-            for block in blocks(items(batch.column("text").cast(pa.large_binary())), 1 << 20):
-                found = encoder.encode([t.decode() for t in block])
+            for block in blocks(items(batch.column("text").cast(pa.large_binary())), 4 << 20):
+                found = encoder.encode_bytes(block)
                 lengths = np.array([len(x) + 1 for x in found], np.int32)
                 ends = np.cumsum(lengths)
                 flat = np.full(int(lengths.sum()), end_id, np.int32)
