@@ -28,7 +28,7 @@ from vecloom.llm.text import as_bytes, blocks, items, kept
 from vecloom.session import discard, scratch_path
 
 #: Linked pairs that are broadcast; windows that are held at once; bytes of text handled at once.
-FREQUENT, HELD, BLOCK = 1 << 18, 150_000, 2 << 20
+FREQUENT, HELD, BLOCK = 1 << 18, 120_000, 1 << 20
 #: What marks a space in a sentencepiece model.
 MARK = "▁"
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, times array<long>"

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecloom.llm import align, chat, cover_tree, decontaminate, lm_score, merkle, mixing, rules, secret_scan, simhash, subwords, token_orc
+from vecloom.llm import align, chat, collocations, cover_tree, decontaminate, lm_score, merkle, mixing, packing, rules, secret_scan, simhash, subwords, token_orc
 from vecloom.llm.text import crc_mod
 from vecloom.session import scratch_path, snapshot
 
@@ -174,6 +174,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(*trees).join(placed.select("archive", "ordinal", F.col("record_id").alias("page_id")), ["archive", "ordinal"], "left")
 
 
+@query(
+    "op11_phrase_collocations",
+    """
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+    w AS (SELECT lang, [x FOR x IN regexp_split_to_array(p, '[\\x20\\x09]+') IF x <> ''] AS w FROM p),
+    g AS (SELECT lang, k AS words, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, (SELECT unnest(range(1, 6)) AS k)),
+    f AS (SELECT lang, words, phrase, count(*)::BIGINT AS f FROM g GROUP BY lang, words, phrase),
+    n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+    c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 100),
+    i AS (SELECT lang, words, a, unnest([array_to_string(w[x:x + m - 1], ' ') FOR x IN range(1, words - m + 2)]) AS phrase FROM (SELECT *, unnest(range(2, words)) AS m FROM c)),
+    d AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN i USING (lang, phrase) WHERE 100 * i.a >= 100 * c.a),
+    k AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, words)) AS k FROM c) ANTI JOIN d USING (lang, phrase)),
+    s AS (
+        SELECT k.lang, k.phrase, k.a, x.f AS l, y.f AS r, n.n, (1000::HUGEINT * k.a * n.n) // (x.f::HUGEINT * y.f) AS score, k.k
+        FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.x JOIN f y ON y.lang = k.lang AND y.phrase = k.y JOIN n ON n.lang = k.lang
+    ),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+    SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b) WHERE rank <= 2000
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_mixture_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), subwords.load(BYTE_BPE), digest=True)
+
+
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.pair_scores(table(spark, sf_dir, "documents"), align.specs(BYTE_BPE, PIECES)).withColumnRenamed("groups", "groups_sha256")
