@@ -12,6 +12,7 @@ are compared by the phrases themselves, so runs that share a fingerprint by chan
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.llm.subwords import gather
-from vecloom.llm.text import Words, _mix, _run_of, as_bytes, blocks, items
+from vecloom.llm.text import Words, _mix, _run_of, as_bytes, blocks, items, kept
 from vecloom.session import discard, scratch_path
 
 #: Least occurrences and most words of a phrase; phrases of a language that are returned.
@@ -31,7 +32,7 @@ PERCENT = 100
 #: What separates pieces, and words.
 PIECE, SPACE = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bits of the filter, and bytes of text handled at once.
-BITS, BLOCK = 1 << 27, 4 << 20
+BITS, BLOCK = 1 << 26, 4 << 20
 NO_LANG = "und"
 
 _KIND = np.zeros(256, np.uint8)
@@ -91,8 +92,13 @@ class Sieve:
     def __init__(self, words: np.ndarray):
         self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
 
-    def __contains__(self, _):
-        raise TypeError("ask for many at once with holds()")
+    @classmethod
+    def read(cls, packed: bytes) -> Sieve:
+        return cls(np.frombuffer(zlib.decompress(packed), np.uint64))
+
+    def packed(self) -> bytes:
+        """For the way to the tasks: mostly zeros while few numbers are in it."""
+        return zlib.compress(self.words.tobytes(), 1)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         one = np.uint64(1)
@@ -155,10 +161,10 @@ def _exact(runs: Runs, n: int, at: np.ndarray, words: np.ndarray, lang: np.ndarr
 def fingerprint_counts(docs: DataFrame, n: int, before: Sieve | None) -> DataFrame:
     """``(fp, n, doc_id)`` of runs of ``n`` words: occurrences, and the least id of a document with one; ``before``: the frequent ones of a
     word less. Documents: ``(doc_id, lang, text)``, the text in bytes."""
-    sent = docs.sparkSession.sparkContext.broadcast(before and before.words)
+    sent = docs.sparkSession.sparkContext.broadcast({"before": before and before.packed()})
 
     def run(batches):
-        known = Sieve(sent.value) if sent.value is not None else None
+        known = kept(sent.value, "sieve", lambda: Sieve.read(sent.value["before"])) if sent.value["before"] else None
         for runs, _, _, rows in _blocks(batches):
             marked = _marked(runs, n - 1, np.flatnonzero(runs.whole(n - 1)), known) if known else None
             at = _alive(runs, n, marked)
@@ -172,10 +178,10 @@ def fingerprint_counts(docs: DataFrame, n: int, before: Sieve | None) -> DataFra
 def phrases(docs: DataFrame, known: list[Sieve]) -> DataFrame:
     """``(lang, words, phrase, f)``: exact occurrences of every phrase whose fingerprint passes ``known`` (by words), and with 0 words and an
     empty phrase all words of a language."""
-    sent = docs.sparkSession.sparkContext.broadcast([s.words for s in known])
+    sent = docs.sparkSession.sparkContext.broadcast({"known": [s.packed() for s in known]})
 
     def run(batches):
-        sieves = [Sieve(w) for w in sent.value]
+        sieves = kept(sent.value, "sieves", lambda: [Sieve.read(x) for x in sent.value["known"]])
         for runs, names, of, _ in _blocks(batches):
             lang, words = of[runs.text], runs.ids()
             total = np.bincount(of, runs.counts(), len(names)).astype(np.int64)
