@@ -20,8 +20,8 @@ def test_owner_mean_batch_and_online(spark):
     assert {r["artist_id"] for r in A.artist_mean_vector(df, min_valid=5).collect()} == {"five", "six"}
 
 
-@pytest.mark.parametrize("small", [5, 40, 50_000])
-def test_exact_percentiles(spark, small):
+@pytest.mark.parametrize("sketch", [8, 40, 4096])
+def test_exact_percentiles(spark, sketch):
     rng = np.random.default_rng(1)
     data = {
         0: rng.normal(size=400), 1: np.repeat([1.0, 2.0], 200), 2: np.full(400, 7.0),
@@ -29,12 +29,35 @@ def test_exact_percentiles(spark, small):
     }
     df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "k int, x double").repartition(3)
     probs = [0.0, 0.25, 0.5, 0.9, 0.95, 1.0]
-    got = A.exact_percentiles(df, "k", "x", probs, small=small).collect()
+    got = A.exact_percentiles(df, "k", "x", probs, sketch=sketch).collect()
     assert len(got) == len(data) * len(probs)
     for r in got:
         assert r["value"] == pytest.approx(np.percentile(data[r["k"]], r["prob"] * 100), rel=1e-12, abs=1e-12)
 
 
+def test_percentiles_read_the_rows_twice(spark):
+    """Whatever the number of keys and rows: once for the sketches, once for counts and the rows inside the brackets."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        reads.add(1)
+        yield from batches
+
+    data = spark.range(60_000).selectExpr("CAST(id % 3 AS STRING) AS k", "CAST(pmod(xxhash64(id), 1000003) AS DOUBLE) AS x").repartition(1)
+    got = A.exact_percentiles(data.mapInPandas(seen, "k string, x double"), "k", "x", [0.25, 0.5, 0.99]).collect()
+    assert reads.value == 2
+    values = {}
+    for r in data.collect():
+        values.setdefault(r["k"], []).append(r["x"])
+    assert all(r["value"] == pytest.approx(np.percentile(values[r["k"]], r["prob"] * 100), rel=1e-12) for r in got) and len(got) == 9
+
+
+def test_nan_and_null_do_not_count(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", float("nan")), ("a", 3.0), ("b", None), ("c", float("inf"))], "k string, x double")
+    got = {(r["k"], r["prob"]): r["value"] for r in A.exact_percentiles(df, "k", "x", [0.5]).collect()}
+    assert got["a", 0.5] == 2.0 and ("b", 0.5) not in got
+
+
 def test_percentiles_of_nothing(spark):
     assert A.exact_percentiles(spark.createDataFrame([], "k int, x double"), "k", "x", [0.5]).count() == 0
 

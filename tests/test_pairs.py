@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import brute
+from vecloom.operators import cells as C
 from vecloom.operators import components as P
 from vecloom.operators import dbscan as D
 from vecloom.operators import density as N
@@ -12,9 +13,10 @@ from vecloom.operators import tiles as T
 
 @pytest.fixture(autouse=True)
 def small_tiles(monkeypatch):
-    # Tests use tiles of a few rows, so that every job spans many of them.
-    monkeypatch.setattr(T, "_tile_size", lambda rows, most, tasks: most)
+    # Tests use tiles of a few rows, so that every job spans many of them, and cells of several levels.
     monkeypatch.setattr(T, "PARTNERS", 3)
+    monkeypatch.setattr(C, "FAN", 4)
+    monkeypatch.setattr(C, "GROUP", 64)
 
 
 @pytest.mark.parametrize("metric,eps", [("euclidean", 0.5), ("manhattan", 0.9), ("cosine", 0.01)])
@@ -43,6 +45,57 @@ def test_far_tiles_are_not_visited(points):
     assert T.tile_pairs(tiles, 0.1).count() < n * (n + 1) / 2 == T.tile_pairs(tiles).count()
 
 
+def given_clusters(spark, centres=40, each=60):
+    """Tight clusters around the given vectors."""
+    x = np.array([list(r[0]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").orderBy("vec_id").select("embedding").limit(centres).collect()], float)
+    return np.repeat(x, each, axis=0) + np.random.default_rng(4).normal(0, 0.01, (len(x) * each, x.shape[1]))
+
+
+def test_clustered_rows_visit_few_tile_pairs(spark):
+    x = given_clusters(spark)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id int, v array<double>")
+    tiles = T.build_tiles(df, "id", "v", tile_rows=64, pivots=True)
+    n, depth = tiles.count(), tiles.first()["depth"]
+    assert depth > 1 and tiles.agg(F.max("n")).first()[0] <= 64 and tiles.agg(F.sum("n")).first()[0] == len(x)
+    assert T.tile_pairs(tiles, 0.3).count() < n * (n + 1) / 2 / 3
+    got = T.eps_join(df, "id", "v", 0.2, collapse=False, tile_rows=64)
+    d = brute.dist(x, x)
+    assert got.count() == int(np.triu(d <= 0.2, 1).sum())
+    _, pairs = T.nearest_pairs(tiles, 5)
+    assert pairs.count() < n * (n - 1) / 3
+    near = {(r["id"], r["rank"]): r["distance"] for r in T.knn_join(df, "id", "v", 5, tile_rows=64).collect()}
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :5]
+    assert all(near[i, k + 1] == pytest.approx(want[i, k]) for i in range(len(x)) for k in range(5))
+
+
+@pytest.mark.parametrize("metric", ["manhattan", "cosine"])
+def test_knn_metrics(spark, points, blobs, metric):
+    d = brute.dist(blobs, blobs, metric)
+    np.fill_diagonal(d, np.inf)
+    got = {(r["id"], r["rank"]): r["distance"] for r in T.knn_join(points, "id", "v", 3, metric, tile_rows=9).collect()}
+    assert len(got) == 3 * len(blobs)
+    assert all(got[i, k + 1] == pytest.approx(x, abs=1e-12) for i in range(len(blobs)) for k, x in enumerate(np.sort(d[i])[:3]))
+
+
+def test_equal_rows_fill_tiles_by_number(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(300, [5.0, 5.0])], "id int, v array<double>")
+    tiles = T.build_tiles(df, "id", "v", tile_rows=50, pivots=True)
+    assert tiles.agg(F.sum("n")).first()[0] == 301 and tiles.agg(F.max("n")).first()[0] < 90
+    got = T.knn_join(df, "id", "v", 2, tile_rows=50)
+    assert got.count() == 602 and got.where("id < 300 AND distance > 0").count() == 0
+    assert T.knn_join(df.limit(1), "id", "v", 2).count() == 0 and T.knn_join(df.limit(0), "id", "v", 2).count() == 0
+    assert T.knn_join(df.limit(3), "id", "v", 5).count() == 6
+
+
+def test_folded_ids_come_back(points, blobs):
+    got = {(r["id"], r["rep"]) for r in T.copies(points, "id", "v").collect()}
+    first = {}
+    for i, v in enumerate(map(tuple, blobs)):
+        first.setdefault(v, []).append(i)
+    assert got == {(i, ids[0]) for ids in first.values() if len(ids) > 1 for i in ids}
+
+
 @pytest.mark.parametrize("skip_zero", [False, True])
 def test_knn(points, blobs, skip_zero):
     d = brute.dist(blobs, blobs)

@@ -35,7 +35,16 @@ def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", radii: Se
             out += np.abs(a[:, d, None] - b[None, :, d])
         return out
     if metric == "cosine":
-        return 1.0 - unit(a) @ unit(b).T
+        ua, ub = unit(a), unit(b)
+        out = 1.0 - ua @ ub.T
+        redo = np.zeros(out.shape, bool)
+        for r in radii:
+            redo |= np.abs(out - r) <= 1e-12
+        i, j = np.nonzero(redo)
+        for at in range(0, len(i), 65536):
+            k, m = i[at:at + 65536], j[at:at + 65536]
+            out[k, m] = 1.0 - (ua[k] * ub[m]).sum(axis=1)
+        return out
     if metric != "euclidean":
         raise ValueError(f"unknown metric {metric!r}")
     na, nb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)

@@ -553,7 +553,7 @@ def hier_select(df: DataFrame, id_col: str, vector: str, ks: Sequence[int] | Non
         mine = [i for i, g in enumerate(grid) if g[2] == metric]
         local = spark.createDataFrame([(c, i) for i, c in enumerate(mine)], "cfg int, slot int")
         some = labels.filter(F.col("metric") == metric).join(F.broadcast(local), "cfg").select(F.col("slot").alias("cfg"), "id", "label")
-        got = quality.mean_silhouette(quality.silhouette_many(work, "id", "vec", some, len(mine), metric, options.get("tile_rows", TILE_ROWS)), ["cfg"])
+        got = quality.mean_silhouette(quality.silhouette_many(work, "id", "vec", some, metric, options.get("tile_rows", TILE_ROWS)), ["cfg"])
         part = got.withColumnRenamed("cfg", "slot").join(F.broadcast(local), "slot").select("cfg", "silhouette")
         sil = part if sil is None else sil.union(part)
     scored = snapshot(work.join(labels.select("cfg", "id", "label"), "id"), "scored")

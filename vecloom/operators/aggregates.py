@@ -7,14 +7,16 @@ vectors nor a hot group are exploded or shuffled row by row.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecloom.functions.vectors import _col
+from vecloom.session import snapshot
+
+#: Rank error of a quantile sketch of k entries, for one rank at 99 in 100: this over k ** 0.9.
+KLL_ERROR = 2.296
 
 
 def mean_vector(c) -> Column:
@@ -99,99 +101,81 @@ def group_stats(df: DataFrame, vector: str, groups: dict) -> DataFrame:
     )
 
 
-def exact_percentiles(long: DataFrame, key: str, value: str, probs: list[float], small: int = 50_000, accuracy: int = 2_000) -> DataFrame:
+def exact_percentiles(long: DataFrame, key: str, value: str, probs: list[float], sketch: int = 4096) -> DataFrame:
     """Exact linear-interpolated percentiles per key: ``(key, prob, value)``.
 
     The built-in exact ``percentile`` keeps every distinct value of a key in
-    one task. Here a sketch only proposes a bracket around each wanted rank;
-    exact counts confirm it, and the loop narrows the bracket until at most
-    ``small`` rows remain, which then give the exact answer. Meant for few
-    keys (feature positions): the driver keeps one bracket per key and
-    probability and nothing that grows with the rows.
+    one task. Here the rows are read twice. The first time a mergeable
+    quantile sketch of each key, of ``sketch`` entries, brackets each wanted
+    rank by its rank error. The second time rows outside all brackets of their
+    key are only counted, and those inside are kept by value with a count;
+    they are put in order over all tasks, and the wanted ranks picked. A
+    bracket that missed its rank, which the counts show, is made eight times
+    as wide and tried again. Any number of keys, and any size of a key: all of
+    it stays in tables. Nulls and NaNs don't count.
     """
-    spark = long.sparkSession
-    key_type = long.select(key).schema[0].dataType.simpleString()
-    long = long.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    sizes = long.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    brackets = []
-    for r in sizes.collect():
-        for p in probs:
-            at = p * (r["n"] - 1)
-            rank = math.floor(at)
-            brackets.append(
-                {"k": r["k"], "p": float(p), "at": at, "rank": rank, "next": min(rank + 1, r["n"] - 1),
-                 "lo": r["lo"], "hi": r["hi"], "below": 0, "inside": r["n"]}
-            )
-    spec = f"k {key_type}, p double, at double, rank bigint, next bigint, lo double, hi double, below bigint"
-
-    def within(some, extra="", more=()):
-        fields = ("k", "p", "at", "rank", "next", "lo", "hi", "below", *more)
-        table = spark.createDataFrame([tuple(b[f] for f in fields) for b in some], spec + extra)
-        return long.join(F.broadcast(table), "k").filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-
-    grid = [i / 64.0 for i in range(65)]
-    settled = []
+    probs = [float(p) for p in probs]
+    rows = long.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    marks = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), F.kll_sketch_agg_double("v", F.lit(sketch)).alias("s"))
+    marks = snapshot(marks.filter("n > 0"), "marks")
+    ranks = [F.floor(F.lit(p) * (F.col("n") - 1)) for p in probs]
+    wide, done, todo = 2.0 * KLL_ERROR / sketch**0.9, None, marks
     while True:
-        todo = [b for b in brackets if b["inside"] > small and b["lo"] < b["hi"]]
-        if not todo:
+        # Brackets by rank, one entry per probability in rising order; outermost ones reach the ends, and so do those of a key that the
+        # sketch could hold whole.
+        lows, highs = [max(0.0, p - wide) for p in sorted(probs)], [min(1.0, p + wide) for p in sorted(probs)]
+        q = F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(x) for x in lows + highs]))
+        small = F.col("n") <= sketch
+        lo = [F.when(small | F.lit(x <= 0), F.col("least")).otherwise(F.get("q", F.lit(i))) for i, x in enumerate(lows)]
+        hi = [F.when(small | F.lit(x >= 1), F.col("most")).otherwise(F.get("q", F.lit(len(probs) + i))) for i, x in enumerate(highs)]
+        brackets = todo.withColumn("q", q).select("k", "n", F.array(*lo).alias("lo"), F.array(*hi).alias("hi"))
+        met = rows.join(brackets.drop("n"), "k")
+        region = sum((F.when(F.get("lo", F.lit(i)) <= F.col("v"), 1).otherwise(0) for i in range(1, len(probs))), F.when(F.get("lo", F.lit(0)) <= F.col("v"), 1).otherwise(0))
+        inside = F.lit(False)
+        for i in range(len(probs)):
+            inside = inside | F.col("v").between(F.get("lo", F.lit(i)), F.get("hi", F.lit(i)))
+        runs = snapshot(met.groupBy("k", region.alias("region"), F.when(inside, F.col("v")).alias("v")).agg(F.count("*").alias("c")), "runs")
+
+        # Rows kept out of all brackets below each bracket, and so the wanted places among the rows inside.
+        skipped = [F.coalesce(F.sum(F.when(F.col("v").isNull() & (F.col("region") <= i), F.col("c"))), F.lit(0)) for i in range(len(probs))]
+        below = runs.groupBy("k").agg(F.array(*skipped).alias("skipped"))
+        order = sorted(range(len(probs)), key=probs.__getitem__)
+        wanted = []
+        for slot, i in enumerate(order):
+            for side in (0, 1):
+                rank = F.least(ranks[i] + side, F.col("n") - 1)
+                wanted.append(F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), (rank - F.get("skipped", F.lit(slot))).alias("at"), F.get("lo", F.lit(slot)).alias("lo"), F.get("hi", F.lit(slot)).alias("hi")))
+        wanted = brackets.join(below, "k").select("k", F.array(*wanted).alias("wanted"))
+        placed = running_total(runs.filter("v IS NOT NULL"), "k", "v", "c", "before").join(wanted, "k")
+        hits = F.filter("wanted", lambda w: (w["at"] >= F.col("before")) & (w["at"] < F.col("before") + F.col("c")) & F.col("v").between(w["lo"], w["hi"]))
+        picked = placed.select("k", "v", F.explode(hits).alias("w")).select("k", "v", "w.i", "w.side")
+        both = picked.groupBy("k", "i").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
+        found = snapshot(both.filter("a IS NOT NULL AND b IS NOT NULL"), "percentiles")
+        whole = found.groupBy("k").agg(F.count("*").alias("m")).filter(F.col("m") == len(probs))
+        right = found.join(whole.select("k"), "k")
+        done = right if done is None else done.unionByName(right)
+        left = todo.join(whole.select("k"), "k", "left_anti")
+        if left.isEmpty():
             break
-        sketch = within(todo).groupBy("k", "p").agg(F.percentile_approx("v", grid, accuracy).alias("q")).collect()
-        marks = {(r["k"], r["p"]): r["q"] for r in sketch}
-        for b in todo:
-            q = marks[(b["k"], b["p"])]
-            first = math.floor((b["rank"] - b["below"]) / b["inside"] * 64) - 1
-            last = math.ceil((b["next"] - b["below"]) / b["inside"] * 64) + 1
-            b["new_lo"], b["new_hi"] = q[max(first, 0)] if first >= 0 else b["lo"], q[last] if last <= 64 else b["hi"]
-            mid = b["lo"] + (b["hi"] - b["lo"]) / 2.0
-            b["mid"] = mid if mid < b["hi"] else b["lo"]
-        counts = (
-            within(todo, ", new_lo double, new_hi double, mid double", ("new_lo", "new_hi", "mid"))
-            .groupBy("k", "p")
-            .agg(
-                F.count_if(F.col("v") < F.col("new_lo")).alias("skipped"),
-                F.count_if((F.col("v") >= F.col("new_lo")) & (F.col("v") <= F.col("new_hi"))).alias("held"),
-                F.count_if(F.col("v") <= F.col("mid")).alias("lower"),
-                F.max(F.when(F.col("v") <= F.col("mid"), F.col("v"))).alias("lower_max"),
-                F.min(F.when(F.col("v") > F.col("mid"), F.col("v"))).alias("upper_min"),
-            )
-            .collect()
-        )
-        found = {(r["k"], r["p"]): r for r in counts}
-        for b in todo:
-            c = found[(b["k"], b["p"])]
-            low, split = b["below"] + c["skipped"], b["below"] + c["lower"]
-            if low <= b["rank"] and b["next"] < low + c["held"] and 2 * c["held"] < b["inside"]:
-                b.update(lo=b["new_lo"], hi=b["new_hi"], below=low, inside=c["held"])
-            elif b["next"] < split:  # the sketch did not help: halve the value range
-                b.update(hi=c["lower_max"], inside=c["lower"])
-            elif b["rank"] >= split:
-                b.update(lo=c["upper_min"], below=split, inside=b["inside"] - c["lower"])
-            else:  # the two wanted ranks lie on either side of the split
-                share = b["at"] - b["rank"]
-                settled.append((b["k"], b["p"], c["lower_max"] + (c["upper_min"] - c["lower_max"]) * share))
-                brackets.remove(b)
-    known = spark.createDataFrame(settled, f"{key} {key_type}, prob double, value double")
-    if not brackets:
-        return known
-    # Equal values collapse to one row with a count before they are gathered.
-    ids = ["k", "p", "rank", "next", "at", "below"]
-    runs = within(brackets).groupBy(*ids, "v").agg(F.count("*").alias("c"))
-    lists = runs.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("runs"))
-
-    def value_at(rank):
-        return F.aggregate(
-            "runs",
-            F.struct(F.col("below").alias("seen"), F.lit(None).cast("double").alias("v")),
-            lambda acc, r: F.struct(
-                (acc["seen"] + r["c"]).alias("seen"),
-                F.when(acc["v"].isNull() & (acc["seen"] + r["c"] > rank), r["v"]).otherwise(acc["v"]).alias("v"),
-            ),
-        )["v"]
-
-    share = F.col("at") - F.col("rank")
-    lo, hi = value_at(F.col("rank")), value_at(F.col("next"))
-    answer = lists.select(F.col("k").alias(key), F.col("p").alias("prob"), (lo + (hi - lo) * share).alias("value"))
-    return answer.union(known) if settled else answer
+        todo, wide = snapshot(left, "marks"), min(1.0, wide * 8)
+    prob = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1)
+    at = prob * (F.col("n") - 1)
+    out = done.join(marks.select("k", "n"), "k")
+    return out.select(F.col("k").alias(key), prob.alias("prob"), (F.col("a") + (F.col("b") - F.col("a")) * (at - F.floor(at))).alias("value"))
+
+
+def running_total(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its key with a lesser ``order``; distinct orders per key.
+
+    Rows go to range slices; sums run inside a slice and over slices, so a key of any size is never in one task.
+    """
+    sliced = snapshot(df.repartitionByRange(key, order).withColumn("_slice", F.spark_partition_id()), "slices")
+    sums = sliced.groupBy(key, "_slice").agg(F.sum(value).alias("_n"))
+    over = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select(key, "_slice", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(key, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = sliced.join(base, [key, "_slice"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return out.drop("_slice", "_base")
 
 
 def percentiles(df: DataFrame, value: str, probs=(0.85, 0.90, 0.95, 0.99), group: str | None = None) -> DataFrame:

@@ -89,7 +89,7 @@ def dbscan_grid(df: DataFrame, id_col: str, vector: str, configs: Sequence[tuple
     info = D.density_info(labels, ["cfg"]).select("cfg", "n_clusters", "n_noise", "noise_ratio")
     real = labels.filter(F.col("cluster_id") != D.NOISE)
     sizes = real.groupBy("cfg", "cluster_id").agg(F.count("*").alias("size")).join(F.broadcast(table), "cfg")
-    sil = mean_silhouette(silhouette_many(df, id_col, vector, real.select("cfg", "id", F.col("cluster_id").alias("label")), len(configs), metric, tile_rows), ["cfg"])
+    sil = mean_silhouette(silhouette_many(df, id_col, vector, real.select("cfg", "id", F.col("cluster_id").alias("label")), metric, tile_rows), ["cfg"])
     grid = (
         table.join(info, "cfg").join(sil.select("cfg", "silhouette"), "cfg", "left")
         .select(
@@ -135,7 +135,7 @@ def dbscan_assign(df: DataFrame, id_col: str, vector: str, eps: float = D.OPTIMA
     silhouette = None
     if not fallback and info and info["n_clusters"] > 1:
         real = labels.filter(F.col("cluster_id") != D.NOISE).select(F.lit(0).alias("cfg"), "id", F.col("cluster_id").alias("label"))
-        got = mean_silhouette(silhouette_many(df, id_col, vector, real, 1, metric, tile_rows)).head()
+        got = mean_silhouette(silhouette_many(df, id_col, vector, real, metric, tile_rows)).head()
         if got and got["silhouette"] == got["silhouette"]:
             silhouette = float(got["silhouette"])
     sizes = labels.groupBy("cluster_id").agg(F.count("*").alias("dbscan_cluster_size"))

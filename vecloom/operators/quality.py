@@ -20,7 +20,9 @@ from pyspark.sql.window import Window
 
 from vecloom.functions import arrow, scores
 from vecloom.functions import vectors as V
-from vecloom.operators.tiles import TILE_ROWS, build_tiles, run_tiles, tile_pairs
+from vecloom.operators.aggregates import running_total
+from vecloom.operators.tiles import PARTNERS, TILE_ROWS, build_tiles, chunked, run_tiles, tile_pairs
+from vecloom.session import snapshot
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
@@ -223,145 +225,189 @@ def compare_clusterings(pairs: DataFrame, a: str = "label_a", b: str = "label_b"
     return one_row(facts, adjusted_rand(pairs, a, b))
 
 
-def _sums(df: DataFrame, id_col: str, vector: str, labels: DataFrame, n_cfg: int, metric: str, tile_rows: int) -> DataFrame:
-    """``(cfg, id, own, other, total)``: distance sums to every cluster, per labeling."""
-    slots = F.array(*[F.lit(i) for i in range(n_cfg)])
-    packed = labels.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("cfg", "label"))).alias("m"))
-    packed = packed.select("id", F.transform(slots, lambda i: F.try_element_at(F.col("m"), i)).alias("labels"))
-    points = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec")).join(packed, "id")
-    tiles = build_tiles(points, "id", "vec", carry=["labels"], tile_rows=tile_rows)
+def _cluster_tiles(points: DataFrame, metric: str, tile_rows: int) -> DataFrame:
+    """Tiles of whole clusters, ``(tile, cfg, unit, n, ids, mat, labels, sizes)``; a cluster of more than ``tile_rows`` rows has tiles of its own.
+
+    ``points``: ``(cfg, id, vec, label)``. ``unit`` is the same for the tiles of one large cluster, and else the tile's own.
+    """
+    sizes = points.groupBy("cfg", "label").agg(F.count("*").alias("size"))
+    large = F.col("size") > tile_rows
+    # Small clusters go by label into bins of about tile_rows rows.
+    small = running_total(sizes.where(~large), "cfg", "label", "size", "before")
+    units = small.select("cfg", "label", "size", F.floor(F.col("before") / tile_rows).alias("bin"), F.lit(False).alias("large"))
+    units = units.unionByName(sizes.where(large).select("cfg", "label", "size", F.col("label").cast("long").alias("bin"), F.lit(True).alias("large")))
+    placed = points.join(snapshot(units, "units"), ["cfg", "label"])
+    part = F.when(F.col("large"), F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / tile_rows))).otherwise(0)
+    placed = placed.select("cfg", "large", "bin", part.cast("long").alias("part"), "id", "vec", "label", "size")
     id_type = points.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("cfg", T.IntegerType()), T.StructField("id", id_type), T.StructField("own", T.IntegerType()),
-            T.StructField("other", T.IntegerType()), T.StructField("total", T.DoubleType()),
-        ]
-    )
+    schema = T.StructType([
+        T.StructField("key", T.StringType()), T.StructField("cfg", T.IntegerType()), T.StructField("unit", T.StringType()), T.StructField("n", T.IntegerType()),
+        T.StructField("ids", T.ArrayType(id_type)), T.StructField("mat", T.BinaryType()), T.StructField("labels", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.LongType())),
+    ])
+
+    def pack(key, table):
+        cfg, big, number, piece = (k.as_py() for k in key)
+        one = lambda name: pa.array([table.column(name).combine_chunks().to_pylist()], pa.list_(table.schema.field(name).type))
+        x = np.ascontiguousarray(arrow.matrix(table.column("vec")), dtype="<f8")
+        unit = f"{cfg}:{int(big)}:{number}"
+        return pa.table(
+            [pa.array([f"{unit}:{piece}"]), pa.array([cfg], pa.int32()), pa.array([unit]), pa.array([len(x)], pa.int32()), one("id"), pa.array([x.tobytes()], pa.binary()), one("label"), one("size")],
+            names=[f.name for f in schema.fields],
+        )
 
-    def label_table(tile):
-        flat = tile.extra["labels"].flatten()
-        gone = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(tile), n_cfg)
-        return flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(len(tile), n_cfg), gone
+    tiles = snapshot(placed.groupBy("cfg", "large", "bin", "part").applyInArrow(pack, schema), "tiles")
+    return tiles.withColumn("tile", F.xxhash64("key")).drop("key")
+
+
+def _sums(df: DataFrame, id_col: str, vector: str, labels: DataFrame, metric: str, tile_rows: int) -> DataFrame:
+    """``(cfg, id, label, n, own, nearest)``: a row's distances to its own cluster added up, and the least mean distance to another.
+
+    Every task has one tile and some partners. Of clusters that it has whole it gives back the row's own sum and the least mean, one row
+    for a row of the tile; only sums to parts of clusters that fill more tiles than that come back one by one.
+    """
+    points = labels.join(df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec")), "id").select("cfg", "id", "vec", "label")
+    tiles = _cluster_tiles(points, metric, tile_rows)
+    id_type = points.schema["id"].dataType
+    schema = T.StructType([
+        T.StructField("cfg", T.IntegerType()), T.StructField("id", id_type), T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()),
+        T.StructField("own", T.DoubleType()), T.StructField("nearest", T.DoubleType()), T.StructField("other", T.IntegerType()), T.StructField("size", T.LongType()), T.StructField("total", T.DoubleType()),
+    ])
+    # Tiles of one unit stand together, so that a chunk holds it whole if it can.
+    a = tiles.select("cfg", F.col("tile").alias("a"))
+    b = tiles.select("cfg", F.col("tile").alias("b"), "unit")
+    at = F.row_number().over(Window.partitionBy("a").orderBy("unit", "b")) - 1
+    pairs = a.join(b, "cfg").select("a", "b", F.floor(at / PARTNERS).cast("int").alias("chunk"))
 
     def kernel(a, partners):
-        la, gone_a = label_table(a)
-        held = [dict() for _ in range(n_cfg)]
+        cfg, own, n = a.extra["cfgs"].to_numpy()[0], a.extra["labels"].to_numpy(), a.extra["sizes"].to_numpy()
+        label = np.concatenate([b.extra["labels"].to_numpy() for b in partners])
+        size = np.concatenate([b.extra["sizes"].to_numpy() for b in partners])
+        names, first, slot, held = np.unique(label, return_index=True, return_inverse=True, return_counts=True)
+        sums, at = np.zeros((len(a), len(names))), 0
         for b in partners:
-            lb, gone_b = label_table(b)
             d = arrow.distances(a.x, b.x, metric)
             if a.key == b.key:
                 np.fill_diagonal(d, 0.0)
-            for cfg in range(n_cfg):
-                keep = ~gone_b[:, cfg]
-                names, slot = np.unique(lb[keep, cfg], return_inverse=True)
-                if not len(names):
-                    continue
-                hot = np.zeros((len(b), len(names)))
-                hot[np.nonzero(keep)[0], slot] = 1.0
-                sums = d @ hot
-                for j, name in enumerate(names):
-                    old = held[cfg].get(name)
-                    held[cfg][name] = sums[:, j] if old is None else old + sums[:, j]
-        for cfg in range(n_cfg):
-            rows = np.nonzero(~gone_a[:, cfg])[0]
-            for name, total in held[cfg].items():
-                yield {
-                    "cfg": np.full(len(rows), cfg), "id": a.ids[rows], "own": la[rows, cfg],
-                    "other": np.full(len(rows), name), "total": total[rows],
-                }
-
-    raw = run_tiles(tiles, tile_pairs(tiles, ordered=True), kernel, schema, carry=["labels"])
-    return raw.groupBy("cfg", "id", "own", "other").agg(F.sum("total").alias("total"))
-
-
-def silhouette_many(df: DataFrame, id_col: str, vector: str, labels: DataFrame, n_cfg: int, metric: str = "euclidean", tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Per-row silhouettes of several labelings from one pass over the pairs.
-
-    ``labels`` is ``(cfg, id, label)`` with cfg below ``n_cfg``; a row missing
-    for a labeling takes no part in it. Returns ``(cfg, id, label, intra,
-    nearest, silhouette)``; silhouette is 0 for singletons, null where a
-    labeling has fewer than two clusters.
+            # Columns of one cluster side by side, then added up.
+            mine = slot[at:at + len(b)]
+            order = np.argsort(mine, kind="stable")
+            cuts = np.flatnonzero(np.diff(mine[order], prepend=-1))
+            sums[:, mine[order][cuts]] += np.add.reduceat(d[:, order], cuts, axis=1)
+            at += len(b)
+        size = size[first]
+        whole = held == size
+        same = own[:, None] == names[None, :]
+        mean = np.where(whole[None, :] & ~same, sums / size[None, :], np.inf)
+        best = mean.min(axis=1)
+        at = same & whole[None, :]
+        total = np.where(at.any(axis=1), (sums * at).sum(axis=1), np.nan)
+        keep = np.flatnonzero(np.isfinite(best) | ~np.isnan(total))
+        none = np.zeros(len(keep), np.int64)
+        yield {
+            "cfg": np.full(len(keep), cfg), "id": a.ids[keep], "label": own[keep], "n": n[keep], "own": pa.array(total[keep], mask=np.isnan(total[keep])),
+            "nearest": pa.array(best[keep], mask=~np.isfinite(best[keep])), "other": pa.array(none, mask=none == 0), "size": none, "total": np.zeros(len(keep)),
+        }
+        for j in np.flatnonzero(~whole):
+            empty = pa.array(np.zeros(len(a)), mask=np.ones(len(a), bool))
+            yield {
+                "cfg": np.full(len(a), cfg), "id": a.ids, "label": own, "n": n, "own": empty, "nearest": empty, "other": np.full(len(a), names[j]),
+                "size": np.full(len(a), size[j]), "total": sums[:, j],
+            }
+
+    carried = tiles.withColumn("cfgs", F.array("cfg"))
+    raw = snapshot(run_tiles(carried, pairs, kernel, schema, carry=["cfgs", "labels", "sizes"]), "sums")
+    parts = raw.where("other IS NOT NULL").groupBy("cfg", "id", "label", "n", "other", "size").agg(F.sum("total").alias("total"))
+    same = F.col("other") == F.col("label")
+    parts = parts.select("cfg", "id", "label", "n", F.when(same, F.col("total")).alias("own"), F.when(~same, F.col("total") / F.col("size")).alias("nearest"))
+    whole = raw.where("other IS NULL").select("cfg", "id", "label", "n", "own", "nearest").unionByName(parts)
+    return whole.groupBy("cfg", "id", "label", "n").agg(F.max("own").alias("own"), F.min("nearest").alias("nearest"))
+
+
+def silhouette_many(df: DataFrame, id_col: str, vector: str, labels: DataFrame, metric: str = "euclidean", tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Per-row silhouettes of several labelings.
+
+    ``labels`` is ``(cfg, id, label)``; a row missing for a labeling takes no
+    part in it. Returns ``(cfg, id, label, intra, nearest, silhouette)``;
+    silhouette is 0 for singletons, null where a labeling has fewer than two
+    clusters.
     """
-    labels = labels.select("cfg", "id", F.col("label").cast("int").alias("label")).filter("label IS NOT NULL")
-    sizes = labels.groupBy("cfg", "label").agg(F.count("*").alias("n"))
-    sums = _sums(df, id_col, vector, labels, n_cfg, metric, tile_rows)
-    means = sums.join(sizes.withColumnRenamed("label", "other"), ["cfg", "other"])
-    own = F.col("own") == F.col("other")
-    per = means.groupBy("cfg", "id", F.col("own").alias("label")).agg(
-        F.max(F.when(own, F.col("n"))).alias("n"),
-        F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("intra"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("nearest"),
-    )
+    labels = labels.select(F.col("cfg").cast("int").alias("cfg"), "id", F.col("label").cast("int").alias("label")).filter("label IS NOT NULL")
+    per = _sums(df, id_col, vector, labels, metric, tile_rows)
+    per = per.withColumn("intra", F.when(F.col("n") > 1, F.col("own") / (F.col("n") - 1)))
     gap = F.try_divide(F.col("nearest") - F.col("intra"), F.greatest("nearest", "intra"))
     s = F.when(F.col("nearest").isNull(), F.lit(None).cast("double")).when(F.col("n") == 1, 0.0).otherwise(F.coalesce(gap, F.lit(0.0)))
     return per.select("cfg", "id", "label", "intra", "nearest", s.alias("silhouette"))
 
 
-def cosine_silhouette_samples(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
-    """Cosine silhouettes without pairs.
+def cosine_silhouette_samples(df: DataFrame, id_col: str, vector: str, label: str, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Cosine silhouettes without pairs of rows.
 
     The mean cosine distance of a row to a cluster is one minus its product
-    with the mean unit vector of that cluster, so one product with the cluster
-    means replaces all pairs. The cluster means are collected only while they
-    stay under 64 MB; with more clusters the tile pass is used.
+    with the mean unit vector of that cluster, so a product with the cluster
+    sums replaces all pairs. The sums are a table: tiles of rows meet tiles of
+    sums, and every task gives back one row for a row.
     """
     norm = F.sqrt(V.dot(vector, vector))
     rows = df.select(
         F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"),
         F.transform(vector, lambda x: F.when(norm > 0, x / norm).otherwise(x)).alias("u"),
     ).filter("label IS NOT NULL")
-    means = rows.groupBy("label").agg(
+    sums = rows.groupBy("label").agg(
         Summarizer.metrics("count", "sum").summary(array_to_vector(F.col("u"))).alias("s")
-    ).select("label", F.col("s.count").alias("n"), vector_to_array(F.col("s.sum")).alias("sum"))
-    k = means.count()
-    dim = means.select(F.max(F.size("sum"))).head()[0] or 0
-    if k * dim * 8 > 64 << 20:
-        return silhouette_many(df, id_col, vector, rows.select(F.lit(0).alias("cfg"), "id", "label"), 1, "cosine").drop("cfg")
-    table = sorted(means.collect(), key=lambda r: r["label"])
-    names = np.array([r["label"] for r in table], dtype=np.int64)
-    n = np.array([r["n"] for r in table], dtype=float)
-    total = np.array([r["sum"] for r in table]).T
-    schema = T.StructType(
-        [
-            T.StructField("id", rows.schema["id"].dataType), T.StructField("label", T.IntegerType()), T.StructField("intra", T.DoubleType()),
-            T.StructField("nearest", T.DoubleType()), T.StructField("silhouette", T.DoubleType()),
-        ]
-    )
+    ).select("label", F.col("s.count").alias("size"), vector_to_array(F.col("s.sum")).alias("sum"))
+    id_type = rows.schema["id"].dataType
+    points = rows.select(F.lit(0).alias("kind"), "id", "label", F.lit(0).cast("long").alias("size"), F.col("u").alias("vec"))
+    points = points.unionByName(sums.select(F.lit(1).alias("kind"), F.lit(None).cast(id_type).alias("id"), "label", "size", F.col("sum").alias("vec")))
+    points = points.withColumn("key", F.coalesce(F.col("id").cast("string"), F.col("label").cast("string")))
+    points = snapshot(points, "points")
+    counts = points.groupBy("kind").agg(F.ceil(F.count("*") / tile_rows).alias("parts"))
+    placed = points.join(counts, "kind").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).select("kind", "part", "id", "label", "size", "vec")
+    tile = T.StructType([
+        T.StructField("tile", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(id_type)),
+        T.StructField("mat", T.BinaryType()), T.StructField("labels", T.ArrayType(T.IntegerType())), T.StructField("sizes", T.ArrayType(T.LongType())),
+    ])
+
+    def pack(key, table):
+        one = lambda name: pa.array([table.column(name).combine_chunks().to_pylist()], pa.list_(table.schema.field(name).type))
+        x = np.ascontiguousarray(arrow.matrix(table.column("vec")), dtype="<f8")
+        kind, part = key[0].as_py(), key[1].as_py()
+        return pa.table([pa.array([part * 2 + kind], pa.int64()), pa.array([kind], pa.int32()), pa.array([len(x)], pa.int32()), one("id"), pa.array([x.tobytes()], pa.binary()), one("label"), one("size")], names=[f.name for f in tile.fields])
+
+    tiles = snapshot(placed.groupBy("kind", "part").applyInArrow(pack, tile), "tiles")
+    left = tiles.where("kind = 0").select(F.col("tile").alias("a"), F.lit(0).alias("k"))
+    pairs = chunked(left.join(tiles.where("kind = 1").select(F.col("tile").alias("b"), F.lit(0).alias("k")), "k"))
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("label", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("intra", T.DoubleType()), T.StructField("nearest", T.DoubleType())])
 
-    def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            u = arrow.matrix(b.column("u"))
-            own = np.searchsorted(names, b.column("label").to_numpy())
-            at = np.arange(len(u))
-            sums = u @ total
+    def kernel(a, partners):
+        own, at = a.extra["labels"].to_numpy(), np.arange(len(a))
+        inside, near, size = np.full(len(a), np.nan), np.full(len(a), np.inf), np.zeros(len(a), np.int64)
+        for b in partners:
+            names, n = b.extra["labels"].to_numpy(), b.extra["sizes"].to_numpy()
+            order = np.argsort(names)
+            names, n, sums = names[order], n[order], a.x @ b.x[order].T
             far = 1.0 - sums / n
-            inside = (n[own] - sums[at, own] - (1.0 - np.einsum("ij,ij->i", u, u))) / np.where(n[own] > 1, n[own] - 1, 1)
-            inside = np.maximum(inside, 0.0)
-            far[at, own] = np.inf
-            near = far.min(axis=1)
-            top = np.maximum(near, inside)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.where((n[own] > 1) & (top > 0), (near - inside) / top, 0.0)
-            none = ~np.isfinite(near)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("id"), b.column("label"), pa.array(inside, mask=n[own] <= 1),
-                    pa.array(near, mask=none), pa.array(s, mask=none),
-                ],
-                names=[f.name for f in schema.fields],
-            )
-
-    return rows.select("id", "label", "u").mapInArrow(run, schema)
+            slot = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            mine = np.flatnonzero(names[slot] == own)
+            k = slot[mine]
+            total = n[k] - sums[mine, k] - (1.0 - np.einsum("ij,ij->i", a.x[mine], a.x[mine]))
+            inside[mine], size[mine] = np.maximum(total / np.where(n[k] > 1, n[k] - 1, 1), 0.0), n[k]
+            far[mine, k] = np.inf
+            near = np.minimum(near, far.min(axis=1))
+        yield {"id": a.ids[at], "label": own, "n": size, "intra": pa.array(inside, mask=np.isnan(inside) | (size <= 1)), "nearest": pa.array(near, mask=~np.isfinite(near))}
+
+    per = run_tiles(tiles, pairs, kernel, schema, carry=["labels", "sizes"])
+    per = per.groupBy("id", "label").agg(F.max("n").alias("n"), F.max("intra").alias("intra"), F.min("nearest").alias("nearest"))
+    top = F.greatest("nearest", "intra")
+    s = F.when((F.col("n") > 1) & (top > 0), (F.col("nearest") - F.col("intra")) / top).otherwise(0.0)
+    return per.select("id", "label", "intra", "nearest", F.when(F.col("nearest").isNotNull(), s).alias("silhouette"))
 
 
 def silhouette_samples(df: DataFrame, id_col: str, vector: str, label: str, metric: str = "euclidean", tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(id, label, intra, nearest, silhouette)`` per row, exact for the metric."""
     if metric == "cosine":
-        return cosine_silhouette_samples(df, id_col, vector, label)
+        return cosine_silhouette_samples(df, id_col, vector, label, tile_rows)
     labels = df.select(F.lit(0).alias("cfg"), F.col(id_col).alias("id"), F.col(label).alias("label"))
-    return silhouette_many(df, id_col, vector, labels, 1, metric, tile_rows).drop("cfg")
+    return silhouette_many(df, id_col, vector, labels, metric, tile_rows).drop("cfg")
 
 
 def mean_silhouette(samples: DataFrame, group: Sequence[str] = ()) -> DataFrame:
@@ -379,8 +425,6 @@ def silhouette(df: DataFrame, id_col: str, vector: str, label: str, metric: str
 
 def evaluate_clustering(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
     """One row per cluster (scope "cluster") and one for the whole (scope "all")."""
-    from vecloom.session import snapshot
-
     samples = snapshot(silhouette_samples(df, id_col, vector, label), "silhouette")
     moments = snapshot(cluster_moments(df, vector, label).select(F.col(label).cast("int").alias("cluster_id"), "n", "inertia"), "moments")
     whole = mean_silhouette(samples)

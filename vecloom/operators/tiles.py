@@ -1,12 +1,11 @@
 """All-pairs work in bounded square tiles.
 
-Rows are packed into tiles of at most ``tile_rows`` vectors, ordered by their
-distance to a pivot. A task gets one tile and a few partner tiles, forms the
-distances with a matrix product, and emits only what the caller reduces them
-to (pairs within eps, counts, nearest rows, sums per cluster). Tile size is
-fixed, so equal or crowded rows cannot make a group larger. Tile pairs whose
-pivot distances differ by more than the wanted radius are dropped unseen: by
-the triangle inequality they hold no pair.
+Rows are packed into tiles of at most ``tile_rows`` vectors. A task gets one
+tile and a few partner tiles, forms the distances with a matrix product, and
+emits only what the caller reduces them to (pairs within eps, counts, nearest
+rows, sums per cluster). Where only near rows matter, a tile is a cell of
+nearby rows (``cells``), and pairs of tiles that lie too far apart are never
+listed.
 """
 
 from __future__ import annotations
@@ -16,14 +15,15 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vecloom.functions import arrow
-from vecloom.functions.vectors import _total, literal_vector
+from vecloom.functions.vectors import _total
+from vecloom.operators import cells
 from vecloom.session import snapshot
 
 TILE_ROWS = 2048
@@ -31,36 +31,13 @@ PARTNERS = 8
 HOT_SHARE = 1000
 
 
-def _pivots(df: DataFrame, vector: str) -> list[list[float]]:
-    """Three reference points, the same rows for any partitioning."""
-    rows = df.select(vector).orderBy(F.xxhash64(vector)).limit(3).collect()
-    return [list(r[0]) for r in rows]
-
-
-def _tile_size(rows: int, most: int, tasks: int) -> int:
-    """Largest tile that still makes a group of work for every task slot."""
-    size = most
-    while size > 256:
-        tiles = math.ceil(rows / size)
-        if tiles * math.ceil(tiles / PARTNERS) >= tasks:
-            break
-        size //= 2
-    return size
-
-
-def _pivot_distance(v, point: Sequence[float], metric: str):
-    gaps = F.zip_with(v, literal_vector(point), lambda x, y: x - y)
-    if metric == "manhattan":
-        return _total(F.transform(gaps, F.abs))
-    return F.sqrt(_total(F.transform(gaps, lambda g: g * g)))
-
-
 def build_tiles(df: DataFrame, id_col: str, vector: str, carry: Sequence[str] = (), metric: str = "euclidean", tile_rows: int = TILE_ROWS, pivots: bool = False) -> DataFrame:
-    """Pack rows into tiles: ``(tile, n, ids, mat, lo, hi, <carry>...)``.
+    """Pack rows into tiles: ``(tile, n, ids, mat, code, depth, centre, radius, <carry>...)``.
 
     ``mat`` holds the vectors row by row as little-endian doubles. For the
     cosine metric the vectors are normalised here, so that the euclidean
-    distance of tile rows is ``sqrt(2 * cosine distance)``.
+    distance of tile rows is ``sqrt(2 * cosine distance)``. With ``pivots``
+    tiles are cells of nearby rows; else rows are dealt by a hash of the id.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vec"), *carry)
     if metric == "cosine":
@@ -68,20 +45,11 @@ def build_tiles(df: DataFrame, id_col: str, vector: str, carry: Sequence[str] =
         rows = rows.withColumn("_norm", norm).withColumn(
             "vec", F.transform("vec", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(x))
         ).drop("_norm")
-    n = rows.count()
-    tile_rows = _tile_size(n, tile_rows, df.sparkSession.sparkContext.defaultParallelism)
-    points = _pivots(rows, "vec") if pivots and n > tile_rows else []
-    rows = rows.withColumn(
-        "_pd", F.array(*[_pivot_distance(F.col("vec"), p, metric) for p in points]) if points else F.array().cast("array<double>")
-    )
-    parts = max(1, math.ceil(n / (4 * tile_rows)))
-    if points:
-        # Ties in the pivot distance are split by the hash, so crowded spots
-        # spread over several slices.
-        order = [F.get("_pd", F.lit(0)), F.xxhash64("id"), F.col("id")]
-        rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    n, shape = rows.count(), _shape(metric)
+    if pivots:
+        rows, depth = cells.split(rows, n, shape, tile_rows)
     else:
-        rows = rows.repartition(parts, "id")
+        rows, depth = rows.withColumn("code", F.lit(0).cast("long")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, math.ceil(n / tile_rows)))).cast("int")), 0
     id_type = rows.schema["id"].dataType
     schema = T.StructType(
         [
@@ -89,68 +57,55 @@ def build_tiles(df: DataFrame, id_col: str, vector: str, carry: Sequence[str] =
             T.StructField("n", T.IntegerType()),
             T.StructField("ids", T.ArrayType(id_type)),
             T.StructField("mat", T.BinaryType()),
-            T.StructField("lo", T.ArrayType(T.DoubleType())),
-            T.StructField("hi", T.ArrayType(T.DoubleType())),
+            T.StructField("code", T.LongType()),
+            T.StructField("depth", T.IntegerType()),
+            T.StructField("centre", T.ArrayType(T.DoubleType())),
+            T.StructField("radius", T.DoubleType()),
             *[T.StructField(c, T.ArrayType(rows.schema[c].dataType)) for c in carry],
         ]
     )
     carry = list(carry)
 
-    def pack(batches):
-        part = TaskContext.get().partitionId()
-        made, held, size = 0, [], 0
-
-        def emit(table: pa.Table) -> pa.RecordBatch:
-            nonlocal made
-            n = table.num_rows
-            pd_ = arrow.matrix(table.column("_pd"))
-            one = lambda col: pa.array([col.combine_chunks().to_pylist()], type=pa.list_(col.type))
-            cols = [
-                pa.array([(part << 32) + made], pa.int64()),
-                pa.array([n], pa.int32()),
-                one(table.column("id")),
-                pa.array([np.ascontiguousarray(arrow.matrix(table.column("vec")), dtype="<f8").tobytes()], pa.binary()),
-                pa.array([pd_.min(axis=0).tolist() if points else []], pa.list_(pa.float64())),
-                pa.array([pd_.max(axis=0).tolist() if points else []], pa.list_(pa.float64())),
-                *[one(table.column(c)) for c in carry],
-            ]
-            made += 1
-            return pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
-
-        for batch in batches:
-            held.append(batch)
-            size += batch.num_rows
-            while size >= tile_rows:
-                table = pa.Table.from_batches(held)
-                yield emit(table.slice(0, tile_rows))
-                held = table.slice(tile_rows).to_batches()
-                size -= tile_rows
-        if size:
-            yield emit(pa.Table.from_batches(held))
-
-    return snapshot(rows.mapInArrow(pack, schema), "tiles")
-
-
-def tile_pairs(tiles: DataFrame, radius: float | None = None, ordered: bool = False) -> DataFrame:
+    def pack(key, table):
+        table = table.take(pc.sort_indices(table.column("id")))
+        code, x = key[0].as_py(), arrow.matrix(table.column("vec"))
+        one = lambda col: pa.array([col.combine_chunks().to_pylist()], type=pa.list_(col.type))
+        centre, radius = cells.ball(x, shape)
+        cols = [
+            pa.array([(code << cells.PARTS) + key[1].as_py()], pa.int64()), pa.array([len(x)], pa.int32()), one(table.column("id")),
+            pa.array([np.ascontiguousarray(x, dtype="<f8").tobytes()], pa.binary()), pa.array([code], pa.int64()), pa.array([depth], pa.int32()),
+            arrow.vectors(centre[None, :]), pa.array([radius]), *[one(table.column(c)) for c in carry],
+        ]
+        return pa.table(cols, names=[f.name for f in schema.fields])
+
+    return snapshot(rows.groupBy("code", "part").applyInArrow(pack, schema), "tiles")
+
+
+def _shape(metric: str) -> str:
+    """Distance between tile rows; cosine tiles hold unit vectors."""
+    return "euclidean" if metric == "cosine" else metric
+
+
+def tile_pairs(tiles: DataFrame, radius: float | None = None, ordered: bool = False, metric: str = "euclidean") -> DataFrame:
     """Tile pairs to visit, ``(a, b, chunk)``; one row per pair of tiles.
 
-    ``radius`` drops pairs whose pivot ranges lie further apart. ``ordered``
+    ``radius`` leaves pairs out whose balls lie further apart. ``ordered``
     yields both (a, b) and (b, a); otherwise each pair once with a <= b.
     Only tile descriptions take part: one small row per ``tile_rows`` rows.
     """
-    meta = tiles.select("tile", "lo", "hi")
-    numbered = meta.withColumn("idx", F.row_number().over(Window.orderBy("tile")) - 1)
-    start, last = F.lit(0) if ordered else F.col("idx"), F.lit(tiles.count() - 1)
-    left = numbered.select(
-        F.col("tile").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"), F.explode(F.sequence(start, last)).alias("bi")
-    )
-    right = numbered.select(F.col("idx").alias("bi"), F.col("tile").alias("b"), F.col("lo").alias("blo"), F.col("hi").alias("bhi"))
-    pairs = left.join(right, "bi")
     if radius is not None:
-        r = float(radius) * (1 + 1e-9) + 1e-9
-        far = lambda x, y: F.exists(F.zip_with(x, y, lambda p, q: p - q > r), lambda z: z)
-        pairs = pairs.filter(~far(F.col("alo"), F.col("bhi")) & ~far(F.col("blo"), F.col("ahi")))
-    return pairs.select("a", "b", F.floor(F.col("bi") / PARTNERS).cast("int").alias("chunk"))
+        pairs = cells.near_pairs(tiles, _shape(metric), radius)
+    else:
+        own = tiles.select(F.col("tile").alias("a"), F.lit(0).alias("k"))
+        pairs = own.join(own.select(F.col("a").alias("b"), "k"), "k").select("a", "b")
+        pairs = pairs if ordered else pairs.where("a <= b")
+    return chunked(pairs)
+
+
+def chunked(pairs: DataFrame) -> DataFrame:
+    """``(a, b, chunk)``: the partners of a tile in groups of ``PARTNERS``."""
+    at = F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1
+    return pairs.select("a", "b", F.floor(at / PARTNERS).cast("int").alias("chunk"))
 
 
 class Tile:
@@ -177,10 +132,9 @@ def run_tiles(tiles: DataFrame, pairs: DataFrame, kernel: Callable, schema: T.St
     count = tiles.count()
     if not count:
         return tiles.sparkSession.createDataFrame([], schema)
-    groups = count * math.ceil(count / PARTNERS)
     spark = tiles.sparkSession
     wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
-    slots = min(groups, wide)
+    slots = min(count * math.ceil(count / PARTNERS), wide)
     role_a = pairs.select("a", "chunk").distinct().select("a", "chunk", F.lit(0).alias("role"), F.col("a").alias("tile"))
     role_b = pairs.select("a", "chunk", F.lit(1).alias("role"), F.col("b").alias("tile"))
     work = role_a.union(role_b).join(tiles.select("tile", "n", "ids", "mat", *carry), "tile")
@@ -235,8 +189,16 @@ def collapse_copies(df: DataFrame, id_col: str, vector: str) -> tuple[DataFrame,
     return reps, members
 
 
+def copies(df: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """``(id, rep)`` of every row whose vector another row has: ``rep`` is the least id with that vector, which stands for it in ``eps_join``."""
+    reps, members = collapse_copies(df, id_col, vector)
+    if members is None:
+        return reps.select("id", F.col("id").alias("rep")).limit(0)
+    return members.join(reps.where("weight > 1").select(F.col("id").alias("rep")), "rep").select("id", "rep")
+
+
 def eps_join(df: DataFrame, id_col: str, vector: str, eps: float, metric: str = "euclidean", collapse: bool = True, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """All pairs at distance ``<= eps``: ``(id_a, id_b, distance, n_a, n_b)``.
+    """All pairs at distance ``<= eps``: ``(id_a, id_b, distance, n_a, n_b)``; ``copies`` tells whom a row stands for.
 
     ``id_a < id_b``. Equal vectors stand as one row, named by their least id
     and counted in ``n_a`` and ``n_b``; a row with ``id_a = id_b`` tells that
@@ -269,7 +231,7 @@ def eps_join(df: DataFrame, id_col: str, vector: str, eps: float, metric: str =
                 out.update(n_a=np.where(swap, m, n).astype(np.int64), n_b=np.where(swap, n, m).astype(np.int64))
             yield out
 
-    pairs = run_tiles(tiles, tile_pairs(tiles, prune_radius(eps, metric)), kernel, schema, carry=carry)
+    pairs = run_tiles(tiles, tile_pairs(tiles, prune_radius(eps, metric), metric=metric), kernel, schema, carry=carry)
     if not collapse:
         return pairs
     n = F.col("weight").cast("bigint")
@@ -323,38 +285,102 @@ def _nearest(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return rows[keep], cols[keep]
 
 
+def _better(old: tuple[np.ndarray, np.ndarray], d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each row among those held and those of ``d``, ties by id."""
+    rows, cols = _nearest(d, ids, k)
+    kept_d, kept_i = np.full((len(d), k), np.inf), np.zeros((len(d), k), dtype=ids.dtype)
+    slot = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    kept_d[rows, slot], kept_i[rows, slot] = d[rows, cols], ids[cols]
+    all_d, all_i = np.hstack([old[0], kept_d]), np.hstack([old[1], kept_i])
+    order = np.lexsort((np.argsort(np.argsort(all_i, axis=1), axis=1), all_d), axis=1)[:, :k]
+    return np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+
+
+def nearest_pairs(tiles: DataFrame, k: int, metric: str = "euclidean", skip_zero: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(candidates, pairs)`` after each tile has searched itself.
+
+    ``candidates`` (``tile``, ``id``, ``bound``, ``neighbour``, ``distance``): the nearest rows of the row's own tile; ``bound`` is its
+    ``k``-th distance there, infinite if the tile has too few. ``pairs``: other tiles that may hold a row within the largest bound of a
+    tile's rows. The distance of cosine rows is that of the unit vectors.
+    """
+    id_type, shape = tiles.schema["ids"].dataType.elementType, _shape(metric)
+    fields = [("tile", T.LongType()), ("id", id_type), ("bound", T.DoubleType()), ("neighbour", id_type), ("distance", T.DoubleType())]
+
+    def own(a, _):
+        d = arrow.distances(a.x, a.x, shape)
+        if skip_zero:
+            d[d <= 0] = np.inf
+        np.fill_diagonal(d, np.inf)
+        best_d, best_i = _better((np.zeros((len(a), 0)), np.zeros((len(a), 0), dtype=a.ids.dtype)), d, a.ids, k)
+        rows, cols = np.nonzero(np.isfinite(best_d))
+        bound = best_d[:, -1] if best_d.shape[1] else np.full(len(a), np.inf)
+        # A row without candidates still tells that its bound is infinite.
+        lone = np.flatnonzero(~np.isfinite(best_d).any(axis=1))
+        at = np.concatenate([rows, lone])
+        yield {
+            "tile": np.full(len(at), a.key), "id": a.ids[at], "bound": bound[at], "neighbour": np.concatenate([best_i[rows, cols], a.ids[lone]]),
+            "distance": np.concatenate([best_d[rows, cols], np.full(len(lone), np.inf)]),
+        }
+
+    same = tiles.select(F.col("tile").alias("a"), F.col("tile").alias("b"), F.lit(0).alias("chunk"))
+    candidates = snapshot(run_tiles(tiles, same, own, T.StructType([T.StructField(*f) for f in fields])), "candidates")
+    reach = candidates.groupBy("tile").agg((F.max("bound") * (1 + 1e-9) + 1e-9).alias("reach"))
+    pairs = cells.near_pairs(tiles.join(reach, "tile"), shape).where("a <> b")
+    return candidates, snapshot(chunked(pairs), "pairs")
+
+
 def knn_join(df: DataFrame, id_col: str, vector: str, k: int, metric: str = "euclidean", skip_zero: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
     """The ``k`` nearest other rows of every row: ``(id, neighbour, distance, rank)``.
 
-    ``skip_zero`` ignores rows at distance 0. Every task reduces its tiles to
-    ``k`` candidates per row before anything is shuffled.
+    ``skip_zero`` ignores rows at distance 0. Two rounds: each tile searches
+    itself, which bounds its rows' k-th distances; then it searches only tiles
+    whose ball comes nearer than that, with those of its rows that it may help.
+    Every task reduces its tiles to ``k`` candidates per row before anything is
+    shuffled.
     """
-    tiles = build_tiles(df, id_col, vector, tile_rows=tile_rows)
     id_type = df.schema[id_col].dataType
     schema = T.StructType(
         [T.StructField("id", id_type), T.StructField("neighbour", id_type), T.StructField("distance", T.DoubleType())]
     )
+    w = Window.partitionBy("id").orderBy("distance", "neighbour")
+    if metric == "cosine":
+        # Zero vectors are at distance 1 from all, which no ball tells: all tiles meet.
+        tiles = build_tiles(df, id_col, vector, tile_rows=tile_rows)
+
+        def every(a, partners):
+            best = np.zeros((len(a), 0)), np.zeros((len(a), 0), dtype=a.ids.dtype)
+            for b in partners:
+                d = arrow.distances(a.x, b.x, metric)
+                if skip_zero:
+                    d[d <= 0] = np.inf
+                if a.key == b.key:
+                    np.fill_diagonal(d, np.inf)
+                best = _better(best, d, b.ids, k)
+            rows, cols = np.nonzero(np.isfinite(best[0]))
+            yield {"id": a.ids[rows], "neighbour": best[1][rows, cols], "distance": best[0][rows, cols]}
+
+        found = run_tiles(tiles, tile_pairs(tiles, ordered=True), every, schema)
+        return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    tiles = build_tiles(df, id_col, vector, metric=metric, tile_rows=tile_rows, pivots=True)
+    found, pairs = nearest_pairs(tiles, k, metric, skip_zero)
+    # At most tile_rows entries per tile.
+    held = found.groupBy("tile", "id").agg(F.max("bound").alias("bound")).groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("id", "bound"))).alias("bounds"))
+    bounded = tiles.join(held.select("tile", F.col("bounds.bound").alias("bounds")), "tile")
 
     def kernel(a, partners):
-        best_d = np.zeros((len(a), 0))
-        best_i = np.zeros((len(a), 0), dtype=a.ids.dtype)
+        bounds = a.extra["bounds"].to_numpy()
+        best = np.zeros((len(a), 0)), np.zeros((len(a), 0), dtype=a.ids.dtype)
         for b in partners:
-            d = arrow.distances(a.x, b.x, metric)
+            centre, radius = cells.ball(b.x, metric)
+            rows = np.flatnonzero(arrow.distances(a.x, centre[None, :], metric)[:, 0] - radius <= bounds * (1 + 1e-9) + 1e-9)
+            d = np.full((len(a), len(b)), np.inf)
+            d[rows] = arrow.distances(a.x[rows], b.x, metric)
             if skip_zero:
                 d[d <= 0] = np.inf
-            if a.key == b.key:
-                np.fill_diagonal(d, np.inf)
-            rows, cols = _nearest(d, b.ids, k)
-            kept_d = np.full((len(a), k), np.inf)
-            kept_i = np.zeros((len(a), k), dtype=a.ids.dtype)
-            slot = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            kept_d[rows, slot], kept_i[rows, slot] = d[rows, cols], b.ids[cols]
-            all_d, all_i = np.hstack([best_d, kept_d]), np.hstack([best_i, kept_i])
-            order = np.lexsort((np.argsort(np.argsort(all_i, axis=1), axis=1), all_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        rows, cols = np.nonzero(np.isfinite(best_d))
-        yield {"id": a.ids[rows], "neighbour": best_i[rows, cols], "distance": best_d[rows, cols]}
+            best = _better(best, d, b.ids, k)
+        rows, cols = np.nonzero(np.isfinite(best[0]))
+        yield {"id": a.ids[rows], "neighbour": best[1][rows, cols], "distance": best[0][rows, cols]}
 
-    candidates = run_tiles(tiles, tile_pairs(tiles, ordered=True), kernel, schema)
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
+    near = found.where(F.col("distance") < float("inf")).select("id", "neighbour", "distance")
+    candidates = near.unionByName(run_tiles(bounded, pairs, kernel, schema, carry=["bounds"]))
     return candidates.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

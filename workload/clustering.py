@@ -33,6 +33,17 @@ def eps_join(s, d):
     return T.eps_join(vectors(s, d), "vec_id", "v", EPS).withColumn("distance", r6("distance"))
 
 
+@query(
+    "eps_join_copies",
+    """WITH u AS (SELECT vec_id AS id, min(vec_id) OVER w AS rep, count(*) OVER w AS n FROM (SELECT vec_id, list_transform(embedding[1:2], lambda x: round(x::DOUBLE, 1) + 0.0) AS v FROM embeddings) WINDOW w AS (PARTITION BY v))
+       SELECT id, rep FROM u WHERE n > 1""",
+)
+def eps_join_copies(s, d):
+    """The ids behind the rows of a join over coarse vectors, which many rows share."""
+    coarse = vectors(s, d).select("vec_id", F.transform(F.slice("v", 1, 2), lambda x: F.round(x, 1) + 0.0).alias("v"))
+    return T.copies(coarse, "vec_id", "v")
+
+
 @query(
     "pairwise_distances",
     f"""WITH {E}, p AS (SELECT a.vec_id AS id, list_distance(a.v, b.v) AS eu, {MANHATTAN} AS ma, list_cosine_distance(a.v, b.v) AS co FROM e a JOIN e b ON a.vec_id <> b.vec_id),

@@ -73,6 +73,16 @@ def percentiles(s, d):
     return q.select(F.col("key").alias("l_returnflag"), "prob", r6("value", 4).alias("value"))
 
 
+@query(
+    "percentiles_many_keys",
+    """SELECT l_suppkey, unnest([0.1, 0.5, 0.9])::DOUBLE AS prob, unnest(list_transform(q, lambda x: round(x, 4) + 0.0)) AS value
+       FROM (SELECT l_suppkey, quantile_cont(l_extendedprice, [0.1, 0.5, 0.9]) AS q FROM lineitem GROUP BY 1)""",
+)
+def percentiles_many_keys(s, d):
+    q = A.percentiles(s.read.parquet(f"{d}/lineitem.parquet"), "l_extendedprice", (0.1, 0.5, 0.9), "l_suppkey")
+    return q.select(F.col("key").alias("l_suppkey"), "prob", r6("value", 4).alias("value"))
+
+
 def _scaled(method):
     return lambda s, d: long(X.scale(vectors(s, d), "v", method, "z"), "z", "vec_id")
 
