@@ -11,7 +11,6 @@ from vecloom.operators import tiles as T
 
 @pytest.fixture(autouse=True)
 def small_tiles(monkeypatch):
-    monkeypatch.setattr(T, "_tile_size", lambda rows, most, tasks: most)
     monkeypatch.setattr(T, "PARTNERS", 3)
     monkeypatch.setattr(G, "ROWS_PER_GROUP", 8)
 
