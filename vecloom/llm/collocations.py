@@ -34,6 +34,8 @@ PIECE, SPACE = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bits of the filter, and bytes of text handled at once.
 BITS, BLOCK = 1 << 26, 4 << 20
 NO_LANG = "und"
+#: Parts into which a language's phrases are dealt, so that no task holds all of a large language.
+SALTS = 64
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(SPACE)], _KIND[list(PIECE)] = 1, 2
@@ -244,15 +246,19 @@ def collocations(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", la
     inside = candidates.where("words > 2").select("lang", F.explode(F.array(part(F.lit(1), less), part(F.lit(2), less))).alias("phrase"), F.col("a").alias("longer"))
     inside = inside.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = candidates.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (F.col("longer") * 100 < F.col("a") * percent)).drop("longer")
+    kept = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int"))
+    kept = kept.join(total.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["lang", "salt"])
 
     k = F.explode(F.sequence(F.lit(1), less)).alias("k")
     cuts = kept.select("*", k).withColumn("left", part(F.lit(1), F.col("k"))).withColumn("right", part(F.col("k") + 1, F.col("words") - F.col("k")))
     for side, name in (("left", "l"), ("right", "r")):
         cuts = cuts.join(count.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)), ["lang", side])
-    cuts = cuts.join(total, "lang").withColumn("score", cut_score("a", "n", "l", "r"))
-    best = cuts.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("x"))
-    scored = store(best.select("lang", "phrase", "a", "x.l", "x.r", "n", "x.score"), "scored")
+    cuts = cuts.withColumn("score", cut_score("a", "n", "l", "r"))
+    best = cuts.groupBy("lang", "salt", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("x"))
+    # The first ones of each part, then of these the first ones of the language.
+    order = lambda *by: F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    leaders = best.select("lang", "salt", "phrase", "a", "x.l", "x.r", "n", "x.score").withColumn("rank", order("salt")).where(F.col("rank") <= top)
+    scored = store(leaders.drop("rank", "salt"), "scored")
     discard(spark, *paths[:-1])
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", order()).where(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
