@@ -37,6 +37,15 @@ def test_units_encode_like_whole_texts(spark):
         assert most > 10 or len(encoder.pieces.keys) < 20_000
 
 
+def test_units_that_share_a_hash_stay_apart(monkeypatch):
+    """Every unit has one hash of three: contents decide."""
+    monkeypatch.setattr(subwords, "slice_hashes", lambda flat, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    tokenizer, encoder = Tokenizer.from_file(PATH), subwords.Encoder(subwords.load(PATH), 40)
+    texts = [t or "" for _, t in ROWS if len(t or "") < 1000] * 3 + ["one two six ten"]
+    for _ in range(3):
+        assert [x.tolist() for x in encoder.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files_round_trip(spark):
     docs = spark.createDataFrame([(i, t, "z") for i, t in ROWS], "doc_id long, text string, ids string").repartition(4)
     for file_bytes in (token_orc.FILE_BYTES, 20):

@@ -13,6 +13,7 @@ frequent.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vecloom.llm.subwords import BYTES, Encoder, Pieces, distinct, gather
+from vecloom.llm.subwords import BYTES, Encoder, Held, distinct, gather
 from vecloom.llm.text import as_bytes, blocks, items, kept
 from vecloom.session import discard, scratch_path
 
@@ -59,7 +60,7 @@ class Tokens:
 class ByteTokens(Tokens):
     """Ids of texts by a byte-level tokenizer, special strings being ordinary text, and each id's bytes."""
 
-    def __init__(self, spec: str, most: int = 120_000):
+    def __init__(self, spec: str, most: int = 400_000):
         self.encoder = Encoder(spec, most, plain_specials=True)
         back = {c: b for b, c in BYTES.items()}
         name = self.encoder.tokenizer.id_to_token
@@ -77,16 +78,19 @@ class PieceTokens(Tokens):
     encoded apart, each once while it is held. Another model encodes whole texts.
     """
 
-    def __init__(self, model: bytes, most: int = 120_000):
+    def __init__(self, model: bytes, most: int = 400_000):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.tokens = [bytes([int(n[1:-1], 16)]) if self.model.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
         kept_spaces = "".join(self.model.encode("  x  x ", out_type=str)) == MARK * 3 + "x" + MARK * 2 + "x" + MARK
-        self.pieces = Pieces(self._encode, most) if kept_spaces and not any(MARK in n.lstrip(MARK) for n in names) else None
+        self.pieces = Held(self._encode, most) if kept_spaces and not any(MARK in n.lstrip(MARK) for n in names) else None
 
-    def _encode(self, units: list[bytes]) -> list[list[int]]:
+    def _encode(self, flat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every unit starts with a space, which the model puts there by itself."""
-        return self.model.encode([u[1:].decode(errors="replace") for u in units], num_threads=1)
+        buffer = flat.tobytes()
+        found = self.model.encode([buffer[a + 1:b].decode(errors="replace") for a, b in zip(edges.tolist(), edges[1:].tolist())], num_threads=1)
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(lengths.sum())), lengths
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """``texts`` with a space in front, as ``ByteTokens`` gets them."""
@@ -102,11 +106,8 @@ class PieceTokens(Tokens):
                 cut[ends[i] + len(t.rstrip(b" "))] = False
         cut[ends] = True
         at = np.flatnonzero(cut)
-        starts, stops = at[:-1], at[1:]
-        first, which = distinct(flat, starts, stops)
-        kinds = [buffer[s:e] for s, e in zip(starts[first].tolist(), stops[first].tolist())]
-        where = self.pieces.places(kinds, np.bincount(which, minlength=len(kinds)))[which]
-        at = np.concatenate(([0], np.cumsum(self.pieces.lengths[where])))[np.searchsorted(starts, ends)]
+        where = self.pieces.places(flat, at)
+        at = np.concatenate(([0], np.cumsum(self.pieces.lengths[where])))[np.searchsorted(at[:-1], ends)]
         ids = self.pieces.ids(where)
         return [ids[x:y] for x, y in zip(at.tolist(), at[1:].tolist())]
 

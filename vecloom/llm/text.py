@@ -7,6 +7,7 @@ these, and ``bytes.lower()`` changes A-Z alone. A null text is an empty one.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,11 @@ def _run_of(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _run_of(_BASE, n), _run_of(_INVERSE, n)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     """Spread every input bit over all 64 output bits, one to one."""
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -72,7 +78,7 @@ def slice_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     out = np.empty(len(starts), np.uint64)
     # Bytes that one piece spans at most: the piece's size, the buffer's, or that of a longer slice.
     widest = max(int((ends - starts).max(initial=0)), min(_PIECE, len(flat))) + 1
-    powers, inverse = _run_of(_BASE, widest), _run_of(_INVERSE, widest)
+    powers, inverse = _powers(_PIECE + 2) if widest <= _PIECE + 2 else (_run_of(_BASE, widest), _run_of(_INVERSE, widest))
     i = 0
     while i < len(starts):
         start = int(starts[i])
