@@ -29,7 +29,7 @@ from vecloom.llm.text import as_bytes, blocks, items, kept
 from vecloom.session import discard, scratch_path
 
 #: Linked pairs that are broadcast; windows that are held at once; bytes of text handled at once.
-FREQUENT, HELD, BLOCK = 1 << 18, 120_000, 1 << 20
+FREQUENT, HELD, BLOCK = 1 << 18, 100_000, 1 << 20
 #: What marks a space in a sentencepiece model.
 MARK = "▁"
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, a array<int>, b array<int>, times array<long>"
@@ -60,7 +60,7 @@ class Tokens:
 class ByteTokens(Tokens):
     """Ids of texts by a byte-level tokenizer, special strings being ordinary text, and each id's bytes."""
 
-    def __init__(self, spec: str, most: int = 400_000):
+    def __init__(self, spec: str, most: int = 250_000):
         self.encoder = Encoder(spec, most, plain_specials=True)
         back = {c: b for b, c in BYTES.items()}
         name = self.encoder.tokenizer.id_to_token
@@ -78,7 +78,7 @@ class PieceTokens(Tokens):
     encoded apart, each once while it is held. Another model encodes whole texts.
     """
 
-    def __init__(self, model: bytes, most: int = 400_000):
+    def __init__(self, model: bytes, most: int = 250_000):
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.tokens = [bytes([int(n[1:-1], 16)]) if self.model.is_byte(i) else n.replace(MARK, " ").encode() for i, n in enumerate(names)]
