@@ -21,8 +21,37 @@ def test_lloyd_keeps_the_centre_of_an_empty_cluster(spark):
     assert centres.ravel().tolist() == [0.5, 10.5, 500.0] and inertia == pytest.approx(1.0)
 
 
+def test_parallel_start_scans_do_not_grow_with_k(spark, points, blobs, monkeypatch):
+    frame, scans = type(points), []
+    kept = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **k: scans.append(1) or kept(self, *a, **k))
+    for k in (3, 12):
+        scans.clear()
+        starts = K.parallel_rows(points, "id", "v", k, 2, 7)
+        assert len(scans) == K.ROUNDS + 1
+        assert [s.shape for s in starts] == [(k, 3)] * 2
+        for s in starts:
+            assert len(np.unique(s, axis=0)) == k and all((blobs == row).all(1).any() for row in s)
+
+
+def test_parallel_start_with_few_distinct_rows(spark):
+    df = spark.createDataFrame([(i, [float(i % 2)]) for i in range(9)], "id int, v array<double>")
+    start = K.parallel_rows(df, "id", "v", 4, 1, 3)[0]
+    assert start.shape == (4, 1) and set(start.ravel()) == {0.0, 1.0}
+    assert K.kmeans(df, "id", "v", 4, n_init=2, init="k-means||")[1] == 0
+
+
+def test_cache_is_shared_and_left(spark, points):
+    plain = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(30)], "id int, v array<double>")
+    with K.held(plain, "id", "v") as rows:
+        with K.held(rows, "v") as again:
+            assert again.storageLevel.useMemory is False and again.is_cached
+        assert rows.storageLevel.useMemory
+    assert not rows.storageLevel.useMemory
+
+
 def test_kmeans_finds_blobs_and_confidence(spark, points, blobs):
-    for init in ("random", "k-means++"):
+    for init in ("random", "k-means++", "k-means||"):
         centres, inertia = K.kmeans(points, "id", "v", 3, n_init=5, init=init)
         d = brute.dist(blobs, centres)
         assert inertia == pytest.approx((d.min(1) ** 2).sum())

@@ -2,19 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecloom.functions import arrow
 from vecloom.operators.partials import sum_partials
 
+#: Drawing scans of a k-means|| start.
+ROUNDS = 2
+
+
+@contextmanager
+def held(df: DataFrame, *columns) -> Iterator[DataFrame]:
+    """``columns`` of ``df``, cached once; of a frame that is cached already it is a mere selection."""
+    rows = df.select(*columns)
+    if df.is_cached:
+        rows.is_cached = True
+        yield rows
+        return
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
 
 def first_rows(df: DataFrame, id_col: str, vector: str, k: int) -> np.ndarray:
     """The vectors of the ``k`` lowest ids, a deterministic start."""
@@ -71,6 +90,69 @@ def plus_plus_rows(df: DataFrame, id_col: str, vector: str, k: int, n_init: int,
     return starts
 
 
+def parallel_rows(df: DataFrame, id_col: str, vector: str, k: int, n_init: int, seed: int, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """k-means|| starts: ``rounds`` scans each draw ``2 k`` rows for every restart with weight = squared distance, one scan counts the rows
+    nearest to each drawn row, and a weighted k-means++ draw over these few gives the start. The number of scans does not depend on ``k``;
+    the first ``j`` rows of a start are a start for ``j`` clusters. Fewer distinct rows than ``k`` give repeated start rows.
+    """
+    u = (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
+    rows = df.select(F.col(vector).alias("vec"), u.alias("u"))
+    drawn = [s.copy() for s in random_rows(df, id_col, vector, [1] * n_init, seed)]
+    if not len(drawn[0]):
+        return drawn
+    many = 2 * k
+    schema = "init int, key double, vec array<double>, task int"
+    for step in range(1, rounds + 1):
+        centres = [s.copy() for s in drawn]
+
+        def draw(batches, centres=centres, step=step):
+            best = [(np.zeros(0), np.zeros((0, c.shape[1]))) for c in centres]
+            for b in batches:
+                x, u = (arrow.matrix(b.column("vec")), b.column("u").to_numpy()) if b.num_rows else (None, None)
+                for i, c in enumerate(centres if b.num_rows else []):
+                    w = arrow.distances(x, c).min(axis=1) ** 2
+                    at = np.flatnonzero(w > 0)
+                    # A different hash stream per restart and step; the greatest keys are a weighted draw without repeats.
+                    v = np.modf(u[at] * (7919.0 + 104729.0 * i + 1299709.0 * step))[0]
+                    keys, held = np.concatenate((best[i][0], np.log(np.maximum(v, 1e-300)) / w[at])), np.vstack((best[i][1], x[at]))
+                    top = np.argsort(-keys, kind="stable")[:many]
+                    best[i] = keys[top], held[top]
+            for i, (keys, held) in enumerate(best):
+                if len(keys):
+                    n = len(keys)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i] * n, pa.int32()), pa.array(keys), arrow.vectors(held), pa.array([TaskContext.get().partitionId() % 64] * n, pa.int32())],
+                        names=["init", "key", "vec", "task"],
+                    )
+
+        top = lambda *by: F.row_number().over(Window.partitionBy("init", *by).orderBy(F.desc("key"), "vec"))
+        won = rows.mapInArrow(draw, schema).withColumn("rank", top("task")).where(F.col("rank") <= many)
+        for r in won.withColumn("rank", top()).where(F.col("rank") <= many).select("init", "vec").collect():
+            drawn[r["init"]] = np.vstack([drawn[r["init"]], np.array(r["vec"])])
+    drawn = [np.unique(s, axis=0) for s in drawn]
+
+    def near(batches):
+        sums = [np.zeros(len(c)) for c in drawn]
+        for b in batches:
+            if b.num_rows:
+                x = arrow.matrix(b.column("vec"))
+                for i, c in enumerate(drawn):
+                    sums[i] += np.bincount(_assign(x, c)[0], minlength=len(c))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(drawn)), pa.int32()), pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))], names=["init", "n"])
+
+    weights = sum_partials(rows.mapInArrow(near, "init int, n array<double>"), ["init"], "n")
+    starts = []
+    for i, c in enumerate(drawn):
+        rng, w = np.random.default_rng([seed, i]), weights[(i,)]
+        picked = [rng.choice(len(c), p=w / w.sum())]
+        while len(picked) < k:
+            p = w * arrow.distances(c, c[picked]).min(axis=1) ** 2
+            p = p if p.sum() > 0 else w
+            picked.append(rng.choice(len(c), p=p / p.sum()))
+        starts.append(c[picked])
+    return starts
+
+
 def _assign(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = arrow.distances(x, centres)
     label = d.argmin(axis=1)
@@ -85,7 +167,11 @@ def lloyd(df: DataFrame, vector: str, starts: Mapping, max_iters: int = 100, tol
     adds up, so the driver sees one row per cluster. A cluster that loses all
     rows keeps its centre.
     """
-    points = df.select(F.col(vector).alias("vec")).persist(StorageLevel.MEMORY_AND_DISK)
+    with held(df, F.col(vector).alias("vec")) as points:
+        return _lloyd(points, starts, max_iters, tol)
+
+
+def _lloyd(points: DataFrame, starts: Mapping, max_iters: int, tol: float) -> dict:
     schema = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
     names = list(starts)
     centres = [np.array(starts[n], dtype=float) for n in names]
@@ -116,39 +202,40 @@ def lloyd(df: DataFrame, vector: str, starts: Mapping, max_iters: int = 100, tol
 
         return sum_partials(points.mapInArrow(partial, schema), ["start", "c"], "sums")
 
-    try:
-        active, iters = list(range(len(names))), [0] * len(names)
-        for _ in range(max_iters):
-            if not active:
-                break
-            moved = {i: centres[i].copy() for i in active}
-            for (i, c), sums in scan(active).items():
-                moved[i][c] = sums[2:] / sums[0]
-            still = []
-            for i in active:
-                shift = np.linalg.norm(moved[i] - centres[i])
-                centres[i] = moved[i]
-                iters[i] += 1
-                if shift >= tol:
-                    still.append(i)
-            active = still
-        inertia = [0.0] * len(names)
-        for (i, _), sums in scan(list(range(len(names)))).items():
-            inertia[i] += float(sums[1])
-        return {n: (centres[i], inertia[i], iters[i]) for i, n in enumerate(names)}
-    finally:
-        points.unpersist()
+    active, iters = list(range(len(names))), [0] * len(names)
+    for _ in range(max_iters):
+        if not active:
+            break
+        moved = {i: centres[i].copy() for i in active}
+        for (i, c), sums in scan(active).items():
+            moved[i][c] = sums[2:] / sums[0]
+        still = []
+        for i in active:
+            shift = np.linalg.norm(moved[i] - centres[i])
+            centres[i] = moved[i]
+            iters[i] += 1
+            if shift >= tol:
+                still.append(i)
+        active = still
+    inertia = [0.0] * len(names)
+    for (i, _), sums in scan(list(range(len(names)))).items():
+        inertia[i] += float(sums[1])
+    return {n: (centres[i], inertia[i], iters[i]) for i, n in enumerate(names)}
+
+
+STARTS = {"k-means++": plus_plus_rows, "k-means||": parallel_rows}
 
 
 def kmeans(df: DataFrame, id_col: str, vector: str, k: int = 5, max_iters: int = 100, tol: float = 1e-4, n_init: int = 10, seed: int = 42, init: str = "random", engine: str = "lloyd"):
     """Best of ``n_init`` runs by inertia: ``(centres, inertia)``."""
     if engine == "mllib":
         return _mllib(df, vector, k, max_iters, tol, n_init, seed)
-    if init == "k-means++":
-        starts = plus_plus_rows(df, id_col, vector, k, n_init, seed)
-    else:
-        starts = random_rows(df, id_col, vector, [k] * n_init, seed)
-    runs = lloyd(df, vector, dict(enumerate(starts)), max_iters, tol)
+    with held(df, id_col, vector) as rows:
+        if init == "random":
+            starts = random_rows(rows, id_col, vector, [k] * n_init, seed)
+        else:
+            starts = STARTS[init](rows, id_col, vector, k, n_init, seed)
+        runs = lloyd(rows, vector, dict(enumerate(starts)), max_iters, tol)
     centres, inertia, _ = min(runs.values(), key=lambda r: r[1])
     return centres, inertia
 
@@ -198,13 +285,14 @@ def kmeans_confidence(assigned: DataFrame, label: str = "cluster_id", distance:
 
 
 def kmeans_many(df: DataFrame, id_col: str, vector: str, ks: Sequence[int], max_iters: int = 100, tol: float = 1e-4, n_init: int = 10, seed: int = 42) -> dict[int, np.ndarray]:
-    """Best centres for every k from k-means++ starts.
+    """Best centres for every k from k-means|| starts.
 
-    A k-means++ draw of the largest k holds a valid draw of every smaller one
-    as its first rows, so all k share the drawing scans and the iterations.
+    A draw of the largest k holds a valid draw of every smaller one as its
+    first rows, so all k share the drawing scans and the iterations.
     """
-    starts = plus_plus_rows(df, id_col, vector, max(ks), n_init, seed)
-    runs = lloyd(df, vector, {(k, i): s[:k] for k in ks for i, s in enumerate(starts)}, max_iters, tol)
+    with held(df, id_col, vector) as rows:
+        starts = parallel_rows(rows, id_col, vector, max(ks), n_init, seed)
+        runs = lloyd(rows, vector, {(k, i): s[:k] for k in ks for i, s in enumerate(starts)}, max_iters, tol)
     return {k: min((runs[(k, i)] for i in range(n_init)), key=lambda r: r[1])[0] for k in ks}
 
 

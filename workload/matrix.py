@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from vecloom.functions import vectors as V
 from vecloom.operators import aggregates as A
 from vecloom.operators import matrix as X
+from vecloom.operators import running as R
 from vecloom.operators.filters import verify_vectors
 from vecloom.plans.prepare import prepare as prepare_plan
+from vecloom.session import scratch_path
 from workload.common import E, long, query, r6, sql_long, vectors
 from workload.catalogue import WEIGHTS_SQL
 
@@ -21,6 +23,17 @@ def artist_mean_vector(s, d):
     return long(A.artist_mean_vector(good, "label", "v"), "mean_vector", "label", "song_count")
 
 
+@query("artist_mean_online", f"WITH {L} SELECT label, count(DISTINCT vec_id) AS song_count, pos, round(avg(x), 6) + 0.0 AS x FROM l GROUP BY label, pos HAVING count(DISTINCT vec_id) >= 5")
+def artist_mean_online(s, d):
+    """All vectors, arriving in three parts: a stored state and two increments."""
+    good, _ = verify_vectors(vectors(s, d), "v", 64)
+    part, path = F.pmod(F.xxhash64("vec_id"), F.lit(3)), scratch_path(s, "means")
+    state = R.start(good.where(part == 0), path, "label", "v", 8)
+    for i in (1, 2):
+        state = R.advance(state, path, good.where(part == i), "label", "v", 8)
+    return long(R.running_mean(state, "label"), "mean_vector", "label", "song_count")
+
+
 @query(
     "data_quality",
     f"""WITH {L} SELECT (SELECT max(len(v)) FROM e)::INTEGER AS total_features, count(DISTINCT vec_id) AS total_rows, round(avg(x), 6) + 0.0 AS matrix_mean,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vecloom.operators import catalog, filters
-from vecloom.session import scratch_path
-from vecloom.sources import records, sinks, tables
+from vecloom.session import scratch_path, snapshot
+from vecloom.sources import buckets, records, sinks, tables
 from workload.common import query, r6, table, vectors
 from workload.signals import SEGMENT_SQL, song_parts
 
@@ -148,6 +148,23 @@ def upsert(s, d):
     return state.withColumn("kmeans_distance", r6("kmeans_distance"))
 
 
+@query(
+    "upsert_buckets",
+    """SELECT c_custkey, round(CASE WHEN b % 4 = 1 THEN c_acctbal + 1 ELSE c_acctbal END, 6) + 0.0 AS c_acctbal, b % 4 = 1 AS rewritten
+       FROM (SELECT *, c_custkey % 16 AS b FROM customer)""",
+)
+def upsert_buckets(s, d):
+    """Customers in sixteen buckets of their key; changes reach every fourth bucket, and only its files are new."""
+    rows, path, by = table(s, d, "customer").select("c_custkey", "c_acctbal"), scratch_path(s, "customers"), F.pmod("c_custkey", F.lit(16))
+    file = F.col("_metadata.file_path")
+    stored = buckets.create(rows, path, by)
+    before = snapshot(s.read.parquet(path).select(file.alias("old_file")).distinct(), "files")
+    changed = rows.where(F.pmod("c_custkey", F.lit(4)) == 1).withColumn("c_acctbal", F.col("c_acctbal") + 1)
+    buckets.upsert(stored, path, changed, by, ["c_custkey"], ["c_acctbal"])
+    now = s.read.parquet(path).select("c_custkey", r6("c_acctbal").alias("c_acctbal"), file.alias("file"))
+    return now.join(before, now.file == before.old_file, "left").select("c_custkey", "c_acctbal", F.col("old_file").isNull().alias("rewritten"))
+
+
 @query(
     "update_by_key",
     """SELECT c_custkey, round(coalesce(a.m, c_acctbal), 6) + 0.0 AS c_acctbal
