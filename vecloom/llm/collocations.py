@@ -32,7 +32,7 @@ PERCENT = 100
 #: What separates pieces, and words.
 PIECE, SPACE = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bits of the filter, and bytes of text handled at once.
-BITS, BLOCK = 1 << 26, 4 << 20
+BITS, BLOCK = 1 << 26, 1 << 20
 NO_LANG = "und"
 #: Parts into which a language's phrases are dealt, so that no task holds all of a large language.
 SALTS = 64
@@ -57,8 +57,8 @@ class Runs(Words):
         self.text = self.owner()
         self.salt = salt[self.text]
         self.word = self.hashes()
-        self.powers, self.inverse = _run_of(_BASE, len(self) + 1), _run_of(_INVERSE, len(self) + 1)
-        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.word * self.powers[:-1], dtype=np.uint64)))
+        self.inverse = _run_of(_INVERSE, len(self) + 1)
+        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.word * _run_of(_BASE, len(self)), dtype=np.uint64))) if len(self) else np.zeros(1, np.uint64)
 
     def whole(self, n: int) -> np.ndarray:
         """Whether a run of ``n`` words begins at each word and ends in its piece."""
