@@ -1,6 +1,9 @@
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tests import brute
 from vecloom.operators import cells as C
@@ -234,3 +237,21 @@ def test_radius_is_inclusive_on_rounded_features(spark):
     assert got == want
     label, _ = brute.dbscan(x, 0.1, 4)
     assert [r["cluster_id"] for r in D.dbscan(df, "id", "v", 0.1, 4, tile_rows=16).orderBy("id").collect()] == list(label)
+
+
+def test_a_tile_travels_once_for_a_block(spark, monkeypatch):
+    """Not once for every tile, or few of them, that it meets."""
+    monkeypatch.setattr(T, "PARTNERS", 32)
+    df = spark.createDataFrame([(i, [float(i % 17), float(i)]) for i in range(600)], "id long, v array<double>")
+    tiles = T.build_tiles(df, "id", "v", tile_rows=4)
+
+    def kernel(a, partners):
+        for b in partners:
+            b.mark = getattr(b, "mark", uuid.uuid4().hex)
+            yield {"a": [a.key], "b": [b.key], "mark": [b.mark]}
+
+    pairs = T.tile_pairs(tiles, ordered=True)
+    got = T.run_tiles(tiles, pairs, kernel, StructType.fromDDL("a long, b long, mark string")).collect()
+    n = tiles.count()
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == n * n
+    assert len({r["mark"] for r in got}) <= n * n / 4
