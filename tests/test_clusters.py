@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from vecloom.operators import agglomerative as G
 from vecloom.operators import gmm as M
 from vecloom.operators import kmeans as K
 from vecloom.operators import tiles as T
+from vecloom.session import scratch_dir
 
 
 @pytest.fixture(autouse=True)
@@ -157,3 +160,13 @@ def test_hier_select_scores_every_setting(points):
     rows = G.hier_select(points.withColumn("v", F.transform("v", lambda e: e + 12)), "id", "v", ks=[2, 3]).collect()
     assert len(rows) == 14 and all(sum(r["sizes"]) == 110 and len(r["sizes"]) == r["k"] for r in rows)
     assert all(r["composite"] == pytest.approx(0.4 * r["silhouette"] + 0.6 * r["balance"]) for r in rows)
+
+
+def test_trees_store_no_matrix(spark):
+    x = np.random.default_rng(8).normal(size=(1200, 3))
+    df = spark.createDataFrame([(i, [float(e) for e in p]) for i, p in enumerate(x)], "id int, v array<double>")
+    folder = scratch_dir(spark).removeprefix("file:")
+    stored = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+    before = stored()
+    assert G.agglomerative_many(df, "id", "v", [("average", "euclidean"), ("ward", "euclidean")], tail=2048).count() == 2 * 1199
+    assert stored() - before < 1200 * 1200 * 8 / 4
