@@ -1,4 +1,5 @@
 import glob
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -79,3 +80,16 @@ def test_filters_reach_the_metadata(spark):
     assert "In(doc_id" in plan._jdf.queryExecution().toString() or "EqualTo(doc_id,77)" in plan._jdf.queryExecution().toString()
     raw = b"".join(open(f, "rb").read() for f in glob.glob(f"{path.removeprefix('file://')}/*.orc"))
     assert raw.startswith(b"ORC") and plan.count() == 1
+
+
+def test_working_memory_of_a_block_is_bounded():
+    """What is held for one block of texts, beside the units kept: a task of two shares an executor with the writer."""
+    encoder = subwords.Encoder(subwords.load(PATH))
+    line = " ".join(f"word{i % 5000} und" for i in range(2000)).encode()
+    texts = [line] * (token_orc.BLOCK_BYTES // len(line))
+    encoder.encode_bytes(texts[:1])
+    tracemalloc.start()
+    encoder.encode_bytes(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20

@@ -22,6 +22,8 @@ from vecloom.llm.text import blocks, items, kept
 END_ID = 2
 #: Texts of about this many bytes go into one file.
 FILE_BYTES = 64 << 20
+#: Bytes of texts that are encoded at once; the working arrays take some thirty times as much.
+BLOCK_BYTES = 1 << 20
 #: Rows of a file whose starts are summed in one group.
 RUN = 1 << 16
 #: Settings of the writer.
@@ -48,7 +50,7 @@ def write_tokens(docs: DataFrame, path: str, spec: str, doc_id: str = "doc_id",
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, at = batch.column("doc_id"), 0
-            for block in blocks(items(batch.column("text").cast(pa.large_binary())), 4 << 20):
+            for block in blocks(items(batch.column("text").cast(pa.large_binary())), BLOCK_BYTES):
                 found = encoder.encode_bytes(block)
                 lengths = np.array([len(x) + 1 for x in found], np.int32)
                 ends = np.cumsum(lengths)
