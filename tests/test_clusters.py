@@ -170,3 +170,14 @@ def test_trees_store_no_matrix(spark):
     before = stored()
     assert G.agglomerative_many(df, "id", "v", [("average", "euclidean"), ("ward", "euclidean")], tail=2048).count() == 2 * 1199
     assert stored() - before < 1200 * 1200 * 8 / 4
+
+
+def test_tiles_of_a_round_are_deleted(spark):
+    """No round's tiles are left when a tree is done, and the tail takes no row for a pair."""
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    before = set(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    trees = [("average", "cosine"), ("complete", "euclidean"), ("average", "manhattan")]
+    assert G.agglomerative_many(df, "id", "v", trees, tail=6, tile_rows=9).count() == 3 * 59
+    left = set(os.listdir(scratch_dir(spark).removeprefix("file:"))) - before
+    assert not [name for name in left if name.startswith(("tiles-", "found-", "blocks-", "met-"))]
