@@ -1,11 +1,13 @@
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tests import brute
+from vecloom.functions import arrow
 from vecloom.operators import cells as C
 from vecloom.operators import components as P
 from vecloom.operators import dbscan as D
@@ -255,3 +257,74 @@ def test_a_tile_travels_once_for_a_block(spark, monkeypatch):
     n = tiles.count()
     assert len(got) == len({(r["a"], r["b"]) for r in got}) == n * n
     assert len({r["mark"] for r in got}) <= n * n / 4
+
+
+def test_links_of_a_block_are_one_forest(spark, monkeypatch):
+    """At most an edge a row and pair of blocks, and not one for every pair of tiles."""
+    monkeypatch.setattr(T, "PARTNERS", 32)
+    links = []
+    stored = D.snapshot
+    monkeypatch.setattr(D, "snapshot", lambda df, name="t": links.append(stored(df, name)) or links[-1])
+    df = spark.createDataFrame([(i, [float(i % 40) / 100]) for i in range(400)], "id long, v array<double>").withColumn("v", F.array(F.col("v")[0] + F.col("id") * 1e-6))
+    got = D.dbscan(df, "id", "v", 0.5, 3, tile_rows=8)
+    assert got.select("cluster_id").distinct().collect()[0][0] == 1 and got.count() == 400
+    edges = next(x for x in links if x.columns == ["cfg", "kind", "u", "v"])
+    tiles = 400 / 8
+    assert edges.count() < 400 * tiles / 4
+
+
+def test_links_fold_to_the_same_components():
+    r = np.random.default_rng(2)
+    cfg, kind, u, v = r.integers(0, 2, 300), np.repeat([0, 1], 150), r.integers(0, 90, 300), r.integers(0, 90, 300)
+    u[150:] += 1000
+    table = pa.table({"cfg": pa.array(cfg, pa.int32()), "kind": pa.array(kind, pa.int32()), "u": u, "v": v})
+    less = D._fold_links(table)
+    assert less.schema == table.schema and len(less) < len(table)
+
+    def meaning(rows):
+        parts, border = {}, set()
+        for c, k, a, b in rows:
+            if k == 0:
+                one = parts.setdefault((c, a), {a}) | parts.setdefault((c, b), {b})
+                parts.update({(c, x): one for x in one})
+        for c, k, a, b in rows:
+            if k == 1:
+                border.add((c, a, min(parts.get((c, b), {b}))))
+        return {(k[0], min(x)): len(x) for k, x in parts.items() if len(x) > 1}, border
+
+    rows = lambda t: list(zip(*(t.column(c).to_pylist() for c in ("cfg", "kind", "u", "v"))))
+    assert meaning(rows(less)) == meaning(rows(table))
+
+
+def test_tiles_keep_single_precision_where_nothing_is_lost():
+    x = np.random.default_rng(3).normal(size=(50, 4))
+    assert len(arrow.packed(x)) == 8 + 50 * 4 * 8 and (arrow.unpacked(arrow.packed(x), 50) == x).all()
+    y = x.astype("<f4").astype("<f8")
+    assert len(arrow.packed(y)) == 8 + 50 * 4 * 4 and (arrow.unpacked(arrow.packed(y), 50) == y).all()
+
+
+def test_manhattan_sums_form_no_pairs(spark, monkeypatch):
+    """Sums to a cluster of some size come from its sorted columns; copies are at distance 0 exactly."""
+    r = np.random.default_rng(4)
+    x, y = np.round(r.normal(size=(30, 3)), 1), np.round(r.normal(size=(200, 3)), 1)
+    slot = r.integers(0, 3, 200)
+    want = np.stack([np.abs(x[:, None] - y[slot == c][None]).sum(axis=(1, 2)) for c in range(3)], axis=1)
+    assert np.allclose(Q._manhattan_sums(x, Q._sorted_columns(y, slot, 3), 3), want, rtol=1e-12)
+    alike = np.full((70, 3), 0.1)
+    assert (Q._manhattan_sums(alike, Q._sorted_columns(alike, np.zeros(70, int), 1), 1) == 0).all()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_silhouettes_of_large_and_small_clusters(spark, metric):
+    """Large clusters over several tiles give sums to both sides, small ones share a tile."""
+    r = np.random.default_rng(6)
+    label = np.concatenate([np.zeros(90, int), np.full(75, 1), r.integers(2, 12, 60), [50]])
+    x = np.round(r.normal(size=(len(label), 3)), 2) + label[:, None] % 5
+    df = spark.createDataFrame([(i, row.tolist(), int(l)) for i, (row, l) in enumerate(zip(x, label))], "id long, v array<double>, label int")
+    got = Q.silhouette_samples(df, "id", "v", "label", metric, tile_rows=20).orderBy("id").collect()
+    d = np.abs(x[:, None] - x[None]).sum(2) if metric == "manhattan" else np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    for i, row in enumerate(got):
+        own = label == label[i]
+        near = min(d[i][label == c].mean() for c in set(label.tolist()) - {label[i]})
+        assert row["nearest"] == pytest.approx(near, rel=1e-9)
+        assert own.sum() == 1 and row["intra"] is None or row["intra"] == pytest.approx(d[i][own].sum() / (own.sum() - 1), rel=1e-9)
