@@ -1,4 +1,5 @@
 import os
+import time
 
 import numpy as np
 import pytest
@@ -8,8 +9,9 @@ from tests import brute
 from vecloom.operators import agglomerative as G
 from vecloom.operators import gmm as M
 from vecloom.operators import kmeans as K
+from vecloom.operators import quality as Q
 from vecloom.operators import tiles as T
-from vecloom.session import scratch_dir
+from vecloom.session import CLEANUP, scratch_dir
 
 
 @pytest.fixture(autouse=True)
@@ -181,3 +183,51 @@ def test_tiles_of_a_round_are_deleted(spark):
     assert G.agglomerative_many(df, "id", "v", trees, tail=6, tile_rows=9).count() == 3 * 59
     left = set(os.listdir(scratch_dir(spark).removeprefix("file:"))) - before
     assert not [name for name in left if name.startswith(("tiles-", "found-", "blocks-", "met-"))]
+
+
+def test_stored_steps_leave_no_shuffle_files(spark):
+    """What a tree shuffled is gone when it is done, and the setting is as before."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for top in dirs for _, _, files in os.walk(top) for f in files if f.startswith("shuffle_")}
+    x = np.random.default_rng(5).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    setting, before = spark.conf.get(CLEANUP), shuffled()
+    trees = [("average", "cosine"), ("complete", "euclidean")]
+    merges = G.agglomerative_many(df, "id", "v", trees, tail=6, tile_rows=9)
+    for _ in range(50):
+        # Spark deletes them in the background.
+        if len(left := shuffled() - before) <= 12:
+            break
+        time.sleep(0.2)
+    # Numbering the rows and reading the weights are no stored steps.
+    assert len(left) <= 12 and spark.conf.get(CLEANUP) == setting
+    assert merges.count() == 2 * 59
+
+
+def test_sums_finish_a_tree_as_its_pairs_do(spark):
+    """Trees of sums send no statistics of pairs, and of a tile's own pairs each is sent once."""
+    x = np.random.default_rng(9).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, [float(e) for e in p]) for i, p in enumerate(x)], "id int, v array<double>")
+    asked = []
+    inner = G._distances
+    G._distances = lambda tiles, trees, every: asked.append((every, sorted(trees))) or inner(tiles, trees, every)
+    try:
+        trees = [("ward", "euclidean"), ("complete", "euclidean"), ("average", "cosine"), ("average", "manhattan"), ("average", "euclidean")]
+        rows = G.agglomerative_many(df, "id", "v", trees, tail=12, tile_rows=7).collect()
+    finally:
+        G._distances = inner
+    assert [t for every, t in asked if every] == [[1, 3], [4]]
+    for t, (linkage, metric) in enumerate(trees):
+        want = sorted(w[2] for w in brute.tree(x, linkage, metric))
+        assert sorted(r["height"] for r in rows if r["tree"] == t) == pytest.approx(want)
+
+
+def test_scores_keep_no_row_per_setting(points, spark):
+    """Neither the rows of all settings nor the tiles of a silhouette are left."""
+    names = lambda: set(os.listdir(scratch_dir(spark).removeprefix("file:")))
+    before = names()
+    labels = points.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("cfg"), "id", (F.col("id") % 3).alias("label"))
+    assert Q.silhouette_many(points, "id", "v", labels).count() == 220
+    assert not [n for n in names() - before if n.startswith("tiles-")]
+    assert len(G.hier_select(points, "id", "v", ks=[2]).collect()) == 7
+    assert not [n for n in names() - before if n.startswith("scored-")]
