@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as St
 from pyspark.sql.types import StructType
 
 from tests import brute
@@ -328,3 +329,23 @@ def test_silhouettes_of_large_and_small_clusters(spark, metric):
         near = min(d[i][label == c].mean() for c in set(label.tolist()) - {label[i]})
         assert row["nearest"] == pytest.approx(near, rel=1e-9)
         assert own.sum() == 1 and row["intra"] is None or row["intra"] == pytest.approx(d[i][own].sum() / (own.sum() - 1), rel=1e-9)
+
+
+def test_two_blocks_meet_in_one_task(spark, monkeypatch):
+    """Every pair of tiles is visited once, and a tile goes once to a pair of blocks, in whatever order its pairs are listed."""
+    df = spark.createDataFrame([(i, [float(i % 7), float(i // 7)]) for i in range(90)], "id long, v array<double>")
+    tiles = T.build_tiles(df, "id", "v", tile_rows=6)
+    seen = []
+    inner = T.run_blocks
+    monkeypatch.setattr(T, "run_blocks", lambda tiles, roles, *rest: seen.append(roles) or inner(tiles, roles, *rest))
+    monkeypatch.setattr(T, "block_tiles", lambda count, cores: 4)
+    schema = St.StructType([St.StructField("a", St.LongType()), St.StructField("b", St.LongType())])
+
+    def kernel(a, partners):
+        yield {"a": np.full(len(partners), a.key), "b": np.array([b.key for b in partners], np.int64)}
+
+    pairs = T.tile_pairs(tiles, ordered=True)
+    got = sorted(tuple(r) for r in T.run_tiles(tiles, pairs, kernel, schema).collect())
+    assert got == sorted(tuple(r) for r in pairs.select("a", "b").collect())
+    roles = [(r["left"], r["right"], r["tile"]) for r in seen[0].collect()]
+    assert len(roles) == len(set(roles)) and all(left <= right for left, right, _ in roles)
