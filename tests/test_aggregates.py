@@ -127,6 +127,26 @@ def test_item_without_kept_segment_is_rejected(spark):
     assert {r["song"]: r["pooled"][0] for r in pooled.collect()} == {"a": 0.5, "b": 0.0}
 
 
+def test_wide_segments_are_dealt_by_their_own_size(spark):
+    scalars = ["bpm", "chroma_stft", "spectral_centroid", "spectral_bandwidth", "rolloff", "zero_crossing_rate", "rms", "onset_env_mean", "onset_count", "loudness_mean", "loudness_std", "loudness_max", "loudness_min"]
+    # One task makes all segments; item 0 has nine in ten of them.
+    rows = spark.range(0, 3000, 1, 1).select(F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id") % 7 + 1).alias("song"), (F.col("id") + 1.0).alias("x"))
+    seg = rows.repartition(1, "song").select(
+        "song", *[F.col("x").alias(c) for c in scalars], *[F.array_repeat("x", 13).alias(c) for c in ("mfcc_mean", "mfcc_std")], F.array_repeat("x", 128).alias("vggish_emb"),
+    )
+    items = spark.range(8).select(F.col("id").alias("song"), F.lit(20.0).alias("duration_sec"), F.lit(2).alias("segments"), F.lit(100.0).alias("global_bpm"))
+    want = {r["song"]: r for r in rows.groupBy("song").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).collect()}
+    kept, bad = S.song_features(seg, items, "song")
+    got = {r["song"]: r["audio_features"] for r in kept.collect()}
+    assert got.keys() == want.keys() and not bad.count()
+    for song, f in got.items():
+        assert f["rms"]["std"] == pytest.approx(want[song]["std"]) and f["mfcc_std"][12]["std"] == pytest.approx(want[song]["std"])
+        assert f["vggish_emb"][127] == pytest.approx(want[song]["mean"])
+    # Before, the task that made them also sorted them: grouping by the item asked for no exchange.
+    for grouped in (kept, S.mean_pool(seg, "song", "vggish_emb", items=items), S.segment_stats_vec(seg, "song", "mfcc_mean")):
+        assert "REBALANCE_PARTITIONS_BY_COL" in grouped._jdf.queryExecution().executedPlan().toString()
+
+
 def test_featurizer_sees_whole_segments_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:

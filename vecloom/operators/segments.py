@@ -154,13 +154,22 @@ def _moments(column: str):
     return F.transform(pairs, lambda p: F.struct(p["mean"].alias("mean"), p["std"].alias("std")))
 
 
+def _dealt(segments: DataFrame, item: str) -> DataFrame:
+    """Segments dealt anew by the size of their own rows, not by that of the rows they were made from.
+
+    They are wide, and a task that groups many items sorts them in memory. Those of an item meet, unless they are so many that Spark cuts
+    their slice.
+    """
+    return segments.withColumn("_deal", F.xxhash64(item)).hint("rebalance", "_deal")
+
+
 def segment_stats_vec(segments: DataFrame, item: str, column: str) -> DataFrame:
-    return segments.filter(F.col(column).isNotNull()).groupBy(item).agg(_moments(column).alias("moments"))
+    return _dealt(segments.filter(F.col(column).isNotNull()), item).groupBy(item).agg(_moments(column).alias("moments"))
 
 
 def mean_pool(segments: DataFrame, item: str, column: str, size: int = schemas.EMBEDDING_SIZE, items: DataFrame | None = None) -> DataFrame:
     """Mean embedding per item; zeros for items (of ``items``) with no segment."""
-    pooled = segments.filter(F.col(column).isNotNull()).groupBy(item).agg(mean_vector(column).alias("pooled"))
+    pooled = _dealt(segments.filter(F.col(column).isNotNull()), item).groupBy(item).agg(mean_vector(column).alias("pooled"))
     every = (items if items is not None else segments).select(item).distinct()
     zeros = F.array_repeat(F.lit(0.0), size)
     return every.join(pooled, item, "left").select(item, F.coalesce("pooled", zeros).alias("pooled"))
@@ -189,7 +198,7 @@ def song_features(segments: DataFrame, items: DataFrame, item: str, min_rms: flo
     keep = F.col("rms") >= min_rms
     if samples:
         keep = keep & (F.col(samples) >= rate)
-    grouped = segments.filter(keep).groupBy(item).agg(
+    grouped = _dealt(segments.filter(keep), item).groupBy(item).agg(
         *[_stat(src).alias(f"f_{name}") for name, src in STAT_SOURCES.items()],
         *[_moments(c).alias(f"f_{c}") for c in schemas.COEFFICIENT_FIELDS],
         _loudness().alias("f_loudness"),
