@@ -25,6 +25,32 @@ def small_tiles(monkeypatch):
     monkeypatch.setattr(C, "GROUP", 64)
 
 
+def test_only_large_cells_are_stored_again(spark, monkeypatch):
+    # A dense half needs more levels than the rest, and forty rows are alike.
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 2, (200, 3)), rng.uniform(-9, 9, (160, 3)), np.full((40, 3), 12.0)])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>").repartition(4)
+    stored, snapshot = [], C.snapshot
+
+    def counted(df, name="t"):
+        out = snapshot(df, name)
+        if name == "cells":
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(C, "snapshot", counted)
+    out, depth = C.split(rows, len(x), "euclidean", 16)
+    got = {r["id"]: (r["code"], r["part"]) for r in out.collect()}
+    # Before, each of the levels stored all rows again.
+    assert depth == len(stored) > 2 and stored[0] == len(x) and all(b < a for a, b in zip(stored, stored[1:]))
+    assert sorted(got) == list(range(len(x))) and out.count() == len(x)
+    assert max(c for c, _ in got.values()) < 32**depth
+    # Alike rows keep one cell down to the last level, cut into parts; no other cell says so.
+    alike = {got[i][0] for i in range(360, 400)}
+    assert len(alike) == 1 and alike.pop() % 32 == 31 and len({got[i] for i in range(360, 400)}) > 1
+    assert all(got[i][0] % 32 != 31 for i in range(360))
+
+
 @pytest.mark.parametrize("metric,eps", [("euclidean", 0.5), ("manhattan", 0.9), ("cosine", 0.01)])
 @pytest.mark.parametrize("tile_rows", [7, 500])
 def test_eps_join(points, blobs, metric, eps, tile_rows):
