@@ -375,3 +375,18 @@ def test_two_blocks_meet_in_one_task(spark, monkeypatch):
     assert got == sorted(tuple(r) for r in pairs.select("a", "b").collect())
     roles = [(r["left"], r["right"], r["tile"]) for r in seen[0].collect()]
     assert len(roles) == len(set(roles)) and all(left <= right for left, right, _ in roles)
+
+
+@pytest.mark.parametrize("metric,radii", [("euclidean", [0.5, 1.0, 1.5]), ("manhattan", [2.0]), ("cosine", [0.05, 0.2])])
+def test_pairs_within_a_radius_are_those_of_all_distances(metric, radii):
+    """Single precision finds them, also far from the origin, next to a radius, and where nearly all are near."""
+    rng = np.random.default_rng(4)
+    grid = np.stack(np.meshgrid(*[np.arange(4) / 2] * 3), axis=-1).reshape(-1, 3)
+    for x in (rng.normal(size=(300, 5)), rng.normal(size=(300, 5)) + 1e4, grid + 1, np.repeat(grid[:2] + 1, 50, axis=0), rng.normal(size=(60, 5)) * 1e20):
+        a, b = x[: len(x) // 2], x[len(x) // 2 - 5:]
+        d = arrow.distances(a, b, metric, radii)
+        parts = list(arrow.within(a, b, metric, radii))
+        i, j, near = (np.concatenate([p[k] for p in parts]) for k in range(3))
+        for r in radii:
+            assert sorted(zip(i[near <= r], j[near <= r])) == sorted(zip(*np.nonzero(d <= r)))
+        assert near == pytest.approx(d[i, j], abs=1e-6 if metric == "euclidean" else 1e-9)
