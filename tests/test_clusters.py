@@ -231,3 +231,26 @@ def test_scores_keep_no_row_per_setting(points, spark):
     assert not [n for n in names() - before if n.startswith("tiles-")]
     assert len(G.hier_select(points, "id", "v", ks=[2]).collect()) == 7
     assert not [n for n in names() - before if n.startswith("scored-")]
+
+
+def test_only_merged_clusters_ask_again(spark, monkeypatch):
+    """A cluster whose nearest one was merged goes on to the next one it knows of."""
+    x = np.random.default_rng(11).normal(size=(300, 6))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    asked, inner = [], G._nearest
+    monkeypatch.setattr(G, "_nearest", lambda tiles, trees: asked.append(trees[0].hot) or inner(tiles, trees))
+    merges = G.agglomerative(df, "id", "v", "average", tail=100, tile_rows=5).collect()
+    want = sorted(w[2] for w in brute.tree(x, "average", "euclidean"))
+    assert sorted(r["height"] for r in merges) == pytest.approx(want)
+    assert sum(asked) < 260
+
+
+def test_single_linkage_meets_all_rows_once(spark, monkeypatch):
+    """After the pass over all pairs only rows of components that know of no other one ask, those of the largest never."""
+    x = np.random.default_rng(12).normal(size=(300, 3))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    passes, inner = [], G.run_tiles
+    monkeypatch.setattr(G, "run_tiles", lambda tiles, *rest, **more: passes.append(tiles) or inner(tiles, *rest, **more))
+    got = G.agglomerative(df, "id", "v", "single", tile_rows=50).collect()
+    assert sorted(r["height"] for r in got) == pytest.approx(sorted(w[2] for w in brute.tree(x, "single", "euclidean")))
+    assert len(passes) <= 3
